@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +19,19 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op4_simhash_dedup": op4_simhash_dedup}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Query] = {
+    "op4_simhash_dedup": op4_simhash_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_byte_bpe": op7_byte_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
