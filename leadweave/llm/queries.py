@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, lines, pii, quality, repeats, simhash, token_files
+from . import bpe, decontamination, langid, lines, pii, quality, repeats, simhash, token_files
+from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), added)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     none = F.col("text").isNull() | ((F.col("text") == "") & (F.col("_n_removed") > 0))
@@ -61,6 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_decontamination": op5_decontamination,
