@@ -171,6 +171,24 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return map_batches(_rows(docs, id_col, text_col), run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """docs with all columns, where text is what decoding its ids gives, and ids and n_tokens are added (null texts stay null, with no ids)."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c = coder(path, pattern)
+        ids = [c.encode(t.decode("utf-8")) for t in raw_texts(batch, f"c{at}")]
+        own = [None if null else c.decode(x).decode("utf-8") for x, null in zip(ids, batch.column(at).is_null().to_pylist(), strict=True)]
+        columns = [pa.array(own, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())], names=[*(f"c{k}" for k in range(len(names))), "ids", "n"])
+
+    rows = docs.select(*[(F.col(c).cast("string") if k == at else F.col(c)).alias(f"c{k}") for k, c in enumerate(names)])
+    schema = ", ".join(f"c{k} {kind}" for k, (_, kind) in enumerate(rows.dtypes))
+    out = map_batches(rows, run, f"{schema}, ids array<int>, n bigint")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "ids", F.col("n").alias("n_tokens"))
+
+
 class Decimals:
     """Decimal strings of ids, made once in each worker."""
 

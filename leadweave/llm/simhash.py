@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, raw_texts
+from .common import BROADCAST_ROWS, cut, map_batches, raw_texts, small_or_shuffled
 from .components import components
 
 RADIUS = 3
@@ -195,3 +195,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs that come first (by id, a null id before others) in their near_duplicates() group, with all columns.
+
+    Repeated rows of one id and text keep one. The ids that go are broadcast if few, so that texts aren't shuffled.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
+    keyed = docs.select("*", key.alias("_k"))
+    found = cut(near_duplicates(keyed, "_k", text_col, width, seed, radius).select("doc_id", "component_id"))
+    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct())
+    kept = keyed.join(small_or_shuffled(gone, BROADCAST_ROWS), "_k", "left_anti")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_k"])
+    return kept.select(*docs.columns)
