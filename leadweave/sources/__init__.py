@@ -1 +1,132 @@
+"""Reading and writing: typed CSV, Parquet tables, named tables of a warehouse, JSON documents, and the order-table mapping."""
 
+from __future__ import annotations
+
+import json
+import re
+from datetime import date, datetime
+from decimal import Decimal
+from pathlib import Path
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LEADS = "lead_id string, created_at timestamp, observation_complete_at timestamp, channel string, campaign string, service_type string, region string, consent_to_contact boolean, is_returning boolean, response_minutes double, follow_up_count int, estimated_value double"
+EVENTS = "event_id string, lead_id string, event_type string, event_at timestamp, event_value double"
+#: Tables that read_table() gives out.
+READABLE = ("model_training_set", "mart_monthly_funnel", "mart_channel_performance", "mart_campaign_performance", "mart_recent_candidates", "fct_lead_outcomes")
+
+
+def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file with a header, by a declared schema; values that don't fit fail the scan."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+def read_leads(spark: SparkSession, path: str) -> DataFrame:
+    return scan_csv(spark, path, LEADS)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return scan_csv(spark, path, EVENTS)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]'Z'").csv(path)
+
+
+def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+
+
+class Warehouse:
+    """Named Parquet tables below a folder, each replaced as a whole."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def replace(self, name: str, df: DataFrame) -> DataFrame:
+        if not re.fullmatch(r"[a-z][a-z0-9_]*", name):
+            raise ValueError(f"Not a table name: {name}")
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.table(name)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    def has(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def read_table(self, name: str) -> DataFrame:
+        """One of READABLE."""
+        if name not in READABLE:
+            raise ValueError(f"Unsupported table: {name}")
+        return self.table(name)
+
+    def register(self, name: str) -> None:
+        """Make a table readable in SQL."""
+        self.table(name).createOrReplaceTempView(name)
+
+
+def json_value(value: Any) -> Any:
+    """A value as JSON has it: dates as ISO text, decimals as numbers, NaN as null."""
+    if isinstance(value, datetime | date):
+        return value.isoformat()
+    if isinstance(value, Decimal):
+        return float(value)
+    if isinstance(value, float) and value != value:
+        return None
+    if hasattr(value, "asDict"):
+        return {k: json_value(v) for k, v in value.asDict().items()}
+    if isinstance(value, list | tuple):
+        return [json_value(v) for v in value]
+    return value
+
+
+def records(df: DataFrame) -> list[dict[str, Any]]:
+    """The rows of a bounded result (a report, a top-k) as JSON objects."""
+    return [json_value(r) for r in df.collect()]
+
+
+def write_json(path: str | Path, document: Any) -> None:
+    Path(path).write_text(json.dumps(document, indent=2), encoding="utf-8")
+
+
+# The order tables as leads and events: see the README.
+EVENT_OF_LINE = {2: "contacted", 3: "qualified", 4: "consultation_booked", 5: "consultation_attended", 6: "customer_won"}
+
+
+def leads_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer, nation, region = load(spark, sf_dir, "orders", "customer", "nation", "region")
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
+    consent, key = F.col("c_acctbal") >= 0, F.col("o_orderkey")
+    created = F.expr("o_orderdate + make_dt_interval(0, 0, cast((o_orderkey * 37) % 1440 as int), 0)")
+    return joined.select(
+        key.cast("string").alias("lead_id"),
+        created.alias("created_at"),
+        (created + F.expr("interval 24 hours")).alias("observation_complete_at"),
+        F.col("c_mktsegment").alias("channel"),
+        F.col("o_orderpriority").alias("campaign"),
+        F.col("o_orderstatus").alias("service_type"),
+        F.col("r_name").alias("region"),
+        consent.alias("consent_to_contact"),
+        (F.col("o_custkey") % 3 == 0).alias("is_returning"),
+        (((key * 131) % 144001).cast("double") / 100).alias("response_minutes"),
+        F.when(consent, key % 7).otherwise(F.lit(0)).cast("int").alias("follow_up_count"),
+        F.col("o_totalprice").alias("estimated_value"),
+    )
+
+
+def events_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (lines,) = load(spark, sf_dir, "lineitem")
+    kind = F.lit("lead_created")
+    for number, name in EVENT_OF_LINE.items():
+        kind = F.when(F.col("l_linenumber") == number, F.lit(name)).otherwise(kind)
+    return lines.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("event_id"),
+        F.col("l_orderkey").cast("string").alias("lead_id"),
+        kind.alias("event_type"),
+        F.col("l_shipdate").alias("event_at"),
+        F.when(F.col("l_linenumber") == 2, F.col("l_quantity")).alias("event_value"),
+    )
