@@ -5,7 +5,10 @@ Words are maximal runs without the bytes 0x20 and 0x09-0x0D, which is how ``byte
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from math import ceil
 
@@ -38,10 +41,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and kept as a Parquet table in the shared folder, so that a lost executor costs no recomputation.
+
+    Reading a table, plans also start from its true size. Tables stay until clear() or the end of the process.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/leadweave-{uuid.uuid4().hex}"
+    _written.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that cut() has written; frames that were made of them can't be read any more."""
+    while _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    if (spark := SparkSession.getActiveSession()) is not None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            clear(spark)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that df has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def small_or_shuffled(df: DataFrame, rows: int, row_bytes: Column | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, cut, small_or_shuffled
+from .common import BROADCAST_ROWS, cut, fresh, small_or_shuffled
 from .text import plain_words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -83,9 +83,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_cols: list[str] | Non
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
     text = F.col(text_col).cast("string")
-    keyed = docs.select("*", F.xxhash64(text).alias("_t1"), F.xxhash64(text, F.lit(11)).alias("_t2"))
-    bad = cut(contaminated(keyed, benchmark, ["_t1", "_t2"], text_col, item_col, item_text, threshold, width).select("_t1", "_t2").distinct())
-    return keyed.join(small_or_shuffled(bad, BROADCAST_ROWS), ["_t1", "_t2"], "left_anti").select(*docs.columns)
+    t = fresh(docs, "_t1", "_t2")
+    keyed = docs.select("*", F.xxhash64(text).alias(t[0]), F.xxhash64(text, F.lit(11)).alias(t[1]))
+    bad = cut(contaminated(keyed, benchmark, t, text_col, item_col, item_text, threshold, width).select(*t).distinct())
+    return keyed.join(small_or_shuffled(bad, BROADCAST_ROWS), t, "left_anti").select(*docs.columns)
 
 
 #: The same pairs by brute force, for DuckDB.

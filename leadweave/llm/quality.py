@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, BROADCAST_ROWS, cut, rolling
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, cut, fresh, rolling
 
 #: The base rules' fixed values.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW, SYMBOLS = 20, 30, 8, b"#*$%&|<>"
@@ -135,28 +135,28 @@ def cutoffs(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     return joined.groupBy("lang", "source").agg(limits.alias("limits"))
 
 
-def with_cutoffs(rows: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
-    """rows with the column _limits of their group; broadcast if the groups are few, else salted against hot groups."""
+def with_cutoffs(rows: DataFrame, limits: DataFrame, lang: Column, source: Column, name: str = "_limits") -> DataFrame:
+    """rows with the cut-offs of their group in column ``name``; broadcast if the groups are few, else salted against hot groups."""
     n = limits.count()
-    own = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
-    key = lambda a, b: F.concat(own(a), F.lit("\x00"), own(b)).alias("_k")
-    left, right = rows.select("*", key(lang, source)), limits.select(key("lang", "source"), F.col("limits").alias("_limits"))
+    k, salt = fresh(rows, "_k", "_salt")
+    own = lambda c: F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n"))
+    key = lambda a, b: F.concat(own(a), F.lit("\x00"), own(b)).alias(k)
+    left, right = rows.select("*", key(lang, source)), limits.select(key(F.col("lang"), F.col("source")), F.col("limits").alias(name))
     if n * 300 <= BROADCAST_BYTES and n <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), "_k", "left").drop("_k")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if rows.schema[c].dataType.simpleString() in ("bigint", "string")]), F.lit(SALTS))
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return left.withColumn("_salt", salt.cast("bigint")).join(salted, ["_k", "_salt"], "left").drop("_k", "_salt")
+        return left.join(F.broadcast(right), k, "left").drop(k)
+    place = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if rows.schema[c].dataType.simpleString() in ("bigint", "string")]), F.lit(SALTS)).cast("bigint")
+    salted = right.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return left.withColumn(salt, place).join(salted, [k, salt], "left").drop(k, salt)
 
 
-def verdict(n: str = "_n") -> Column:
+def verdict(n: str, limits: str = "_limits") -> Column:
     """kept: the base rules pass and no ratio is above its group's cut-off."""
-    above = [F.coalesce(value(r, n) > F.col("_limits")[r.name], F.lit(False)) for r in RULES]
+    above = [F.coalesce(value(r, n) > F.col(limits)[r.name], F.lit(False)) for r in RULES]
     return ~base_failed(n) & ~F.greatest(*above)
 
 
-def _grouped(docs: DataFrame, lang: str | None, source: str | None, text: str) -> DataFrame:
-    key = lambda c: F.col(c).cast("string") if c and c in docs.columns else F.lit(None).cast("string")
-    return docs.select(key(lang).alias("lang"), key(source).alias("source"), counts(F.col(text).cast("string")).alias("n"))
+def _group(docs: DataFrame, name: str) -> Column:
+    return F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -165,19 +165,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang:
     Null texts count as empty and fail the base rules; an empty table gives an empty one; repeated rows are
     judged alike; other columns are ignored.
     """
-    key = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), key(lang).alias("lang"), key(source).alias("source"), counts(F.col(text_col).cast("string")).alias("n")))
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), _group(docs, lang).alias("lang"), _group(docs, source).alias("source"), counts(F.col(text_col).cast("string")).alias("n")))
     limits = cut(cutoffs(sketches(rows)))
-    joined = with_cutoffs(rows, limits, "lang", "source")
+    joined = with_cutoffs(rows, limits, F.col("lang"), F.col("source"))
     reason = F.coalesce(F.when(base_failed("n"), F.lit("base")), *[F.when(value(r, "n") > F.col("_limits")[r.name], F.lit(r.name)) for r in RULES])
     return joined.select("doc_id", *[F.col(f"n.{c}").alias(c) for c in COUNTS[:5]], base_failed("n").alias("base_failed"), verdict("n").alias("kept"), reason.alias("rejected_by"))
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns; texts are read twice and never shuffled."""
-    limits = cut(cutoffs(cut(sketches(_grouped(docs, lang, source, text_col)))))
-    rows = docs.withColumn("_n", counts(F.col(text_col).cast("string")))
-    return with_cutoffs(rows, limits, lang, source).where(verdict("_n")).select(*docs.columns)
+    grouped = docs.select(_group(docs, lang).alias("lang"), _group(docs, source).alias("source"), counts(F.col(text_col).cast("string")).alias("n"))
+    limits = cut(cutoffs(cut(sketches(grouped))))
+    n, own = fresh(docs, "_n", "_limits")
+    rows = docs.withColumn(n, counts(F.col(text_col).cast("string")))
+    return with_cutoffs(rows, limits, _group(docs, lang), _group(docs, source), own).where(verdict(n, own)).select(*docs.columns)
 
 
 __all__ = ["Rule", "RULES", "count", "cutoffs", "filter_documents", "judge", "sketches"]

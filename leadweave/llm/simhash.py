@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, map_batches, raw_texts, small_or_shuffled
+from .common import BROADCAST_ROWS, cut, fresh, map_batches, raw_texts, small_or_shuffled
 from .components import components
 
 RADIUS = 3
@@ -202,11 +202,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Repeated rows of one id and text keep one. The ids that go are broadcast if few, so that texts aren't shuffled.
     """
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
-    keyed = docs.select("*", key.alias("_k"))
-    found = cut(near_duplicates(keyed, "_k", text_col, width, seed, radius).select("doc_id", "component_id"))
-    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct())
-    kept = keyed.join(small_or_shuffled(gone, BROADCAST_ROWS), "_k", "left_anti")
+    (k,) = fresh(docs, "_k")
+    keyed = docs.select("*", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th")).alias(k))
+    found = cut(near_duplicates(keyed, k, text_col, width, seed, radius).select("doc_id", "component_id"))
+    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(k)).distinct())
+    kept = keyed.join(small_or_shuffled(gone, BROADCAST_ROWS), k, "left_anti")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_k"])
+        kept = kept.dropDuplicates([k])
     return kept.select(*docs.columns)
