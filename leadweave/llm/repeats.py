@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import ceil
 
 import numpy as np
@@ -23,35 +23,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, raw_texts, rolling, slices, small_or_shuffled
+from .common import BROADCAST_ROWS, cut, mix, raw_texts, rolling, slices, small_or_shuffled
 
 WINDOW = 13
 #: Words that a reader packs at once, and postings that a bucket should hold, about.
 PACK, BUCKET = 1_500_000, 2_500_000
 _LAST = np.iinfo(np.int64).max
-POSTINGS = "bucket int, doc_id bigint, th bigint, payload binary"
+POSTINGS = "bucket int, payload binary"
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _runs(at: np.ndarray) -> np.ndarray:
-    """Ascending positions as (first, last) pairs of unbroken runs."""
-    if not len(at):
-        return np.empty((0, 2), np.uint32)
-    cut_at = np.flatnonzero(np.diff(at) != 1)
-    return np.stack([at[np.r_[0, cut_at + 1]], at[np.r_[cut_at, len(at) - 1]]], axis=1).astype(np.uint32)
-
-
-def _pack_runs(doc: np.ndarray, th: np.ndarray, pos: np.ndarray, bucket: int) -> pa.RecordBatch:
-    """Rows (bucket, doc_id, th, runs) for marked positions, one a document."""
-    order = np.lexsort((pos, th, doc))
-    doc, th, pos = doc[order], th[order], pos[order]
-    first = np.flatnonzero(np.r_[np.full(min(1, len(doc)), True), (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])])
-    ends = np.r_[first, len(doc)][1:]
-    runs = [_runs(pos[a:b].astype(np.int64)).tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), bucket, np.int32)), pa.array(doc[first]), pa.array(th[first]), pa.array(runs, pa.binary())], names=["bucket", "doc_id", "th", "payload"])
+def _pack_marks(doc: np.ndarray, th: np.ndarray, pos: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Rows (bucket, payload) of marked positions, one for each group of documents; the bucket of group g is -1-g."""
+    with np.errstate(over="ignore"):
+        group = (mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + th.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % groups
+    order = np.lexsort((pos, th, doc, group))
+    group, doc, th, pos = group[order], doc[order], th[order], pos[order].astype(np.int64)
+    starts = np.flatnonzero(np.r_[np.full(min(1, len(doc)), True), (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (pos[1:] != pos[:-1] + 1)])
+    stops = np.r_[starts, len(doc)][1:] - 1
+    runs = np.stack([doc[starts], th[starts], pos[starts], pos[stops]], axis=1) if len(starts) else np.empty((0, 4), np.int64)
+    of = group[starts]
+    first = np.flatnonzero(np.r_[np.full(min(1, len(of)), True), of[1:] != of[:-1]])
+    cuts = np.r_[first, len(of)]
+    rows = [np.ascontiguousarray(runs[x:y].T).tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array((-1 - of[first]).astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "payload"])
+
+
+def _merge(payloads: list[bytes]) -> pa.RecordBatch:
+    """(doc_id, th, runs) of a group's documents: the union of their runs, which may touch or overlap."""
+    parts = [np.frombuffer(p, np.int64).reshape(4, -1) for p in payloads]
+    doc, th, a, b = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    order = np.lexsort((a, th, doc))
+    doc, th, a, b = doc[order], th[order], a[order], b[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])])
+    runs = []
+    for x, y in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True):
+        reach = np.maximum.accumulate(b[x:y])
+        new = np.flatnonzero(np.r_[True, a[x + 1 : y] > reach[:-1] + 1])
+        runs.append(np.stack([a[x:y][new], reach[np.r_[new[1:] - 1, y - x - 1]]], axis=1).astype(np.uint32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(th[first]), pa.array(runs, pa.binary())], names=["doc_id", "th", "runs"])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -102,7 +115,7 @@ class Packer:
             block[order] = any_block[group]
         if marked.any():
             own = order[marked]
-            yield _pack_runs(doc[own], th[own], pos[own], -1)
+            yield _pack_marks(doc[own], th[own], pos[own], self.buckets)
         order = order[ds == low[group]]
         edges = np.array([-(-(b << 64) // self.buckets) for b in range(1, self.buckets)], np.uint64)
         cuts = [0, *np.searchsorted(h[order], edges).tolist(), len(order)]
@@ -111,8 +124,7 @@ class Packer:
             if a < b:
                 own = np.sort(order[a:b])
                 rows.append((bucket, self._payload(doc[own], th[own], pos[own], h[own], block[own])))
-        none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), none, none, pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "doc_id", "th", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "payload"])
 
     def _payload(self, doc: np.ndarray, th: np.ndarray, pos: np.ndarray, h: np.ndarray, block: np.ndarray) -> bytes:
         first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])])
@@ -142,7 +154,7 @@ def _unpack(raw: bytes, exact: bool) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(n_docs), count), doc, th, pos.astype(np.uint32), block, h
 
 
-def _resolve(bucket: int, payloads: list[bytes], exact: bool) -> pa.RecordBatch:
+def _resolve(payloads: list[bytes], exact: bool, groups: int) -> pa.RecordBatch:
     """Mark what a bucket's postings have in common with a document before, and (not exact) the blocks it was found by."""
     index, docs, ths, poss, blocks, hs = [], [], [], [], [], []
     at = 0
@@ -160,55 +172,42 @@ def _resolve(bucket: int, payloads: list[bytes], exact: bool) -> pa.RecordBatch:
     twice = np.repeat(size > 1, size)
     order, size = order[twice], size[size > 1]
     if not len(order):
-        return _pack_runs(np.empty(0, np.int64), np.empty(0, np.int64), pos[:0], bucket)
+        return _pack_marks(np.empty(0, np.int64), np.empty(0, np.int64), pos[:0], groups)
     first = np.cumsum(size) - size
     ds = doc[i[order]]
     is_block = block[order]
     low = np.repeat(np.minimum.reduceat(np.where(is_block, ds, _LAST), first), size)
     high = np.repeat(np.maximum.reduceat(ds, first), size)
     own = order[(low < ds) | (~np.bool_(exact) & is_block & (high > ds))]
-    return _pack_runs(doc[i[own]], th[i[own]], pos[own], bucket)
+    return _pack_marks(doc[i[own]], th[i[own]], pos[own], groups)
 
 
 def _shared(postings: DataFrame, buckets: int, exact: bool) -> DataFrame:
-    """(doc_id, th, runs): the marked positions of each document, from packed postings."""
+    """(doc_id, th, runs): the marked positions of each document, from packed postings.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, waiting = -1, []
+    Marks travel packed by groups of documents, as many as there are buckets, so that their rows don't multiply with both.
+    """
+
+    def by_bucket(batches: Iterable[pa.RecordBatch], done: Callable[[list[bytes]], pa.RecordBatch], skip: bool) -> Iterator[pa.RecordBatch]:
+        now, waiting = None, []
         for batch in batches:
             inside = np.array(batch.column(0).to_pylist())
-            if (ready := batch.filter(pa.array(inside < 0))).num_rows:
-                yield ready
-            for bucket, payload in zip(inside.tolist(), batch.column(3).to_pylist(), strict=True):
-                if bucket >= 0:
+            if skip and (inside < 0).any():
+                yield batch.filter(pa.array(inside < 0))
+            for bucket, payload in zip(inside.tolist(), batch.column(1).to_pylist(), strict=True):
+                if not (skip and bucket < 0):
                     if bucket != now and waiting:
-                        yield _resolve(now, waiting, exact)
+                        yield done(waiting)
                         waiting = []
                     now = bucket
                     waiting.append(payload)
         if waiting:
-            yield _resolve(now, waiting, exact)
-
-    # Marks that are ready are dealt out by document, so that they don't meet in one task.
-    to = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    dealt = postings.repartition(buckets, to).sortWithinPartitions("bucket")
-    marks = dealt.mapInArrow(run, POSTINGS).groupBy("doc_id", "th").agg(F.collect_list("payload").alias("runs"))
-
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            merged = [_merge(parts).tobytes() for parts in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(merged, pa.binary())], names=["doc_id", "th", "runs"])
-
-    return cut(marks.mapInArrow(merge, "doc_id bigint, th bigint, runs binary"))
-
+            yield done(waiting)
 
-def _merge(parts: list[bytes]) -> np.ndarray:
-    """The union of runs that may touch or overlap."""
-    runs = np.concatenate([np.frombuffer(p, np.uint32).reshape(-1, 2) for p in parts]).astype(np.int64)
-    runs = runs[np.argsort(runs[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(runs[:, 1])
-    first = np.flatnonzero(np.r_[True, runs[1:, 0] > reach[:-1] + 1])
-    return np.stack([runs[first, 0], reach[np.r_[first[1:] - 1, len(runs) - 1]]], axis=1).astype(np.uint32)
+    dealt = postings.repartition(buckets, F.pmod("bucket", F.lit(buckets))).sortWithinPartitions("bucket")
+    marks = dealt.mapInArrow(lambda batches: by_bucket(batches, lambda x: _resolve(x, exact, buckets), True), POSTINGS)
+    grouped = marks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return cut(grouped.mapInArrow(lambda batches: by_bucket(batches, _merge, False), "doc_id bigint, th bigint, runs binary"))
 
 
 def _spread(runs: bytes, before: int, behind: int, n: int) -> np.ndarray:
