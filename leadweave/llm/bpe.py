@@ -21,20 +21,23 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, raw_texts
 
-#: Entries of a worker's memo tables; a full table is emptied.
-PIECES, PAIRS = 200_000, 1_000_000
+#: Entries of a worker's memo tables.
+PIECES, PAIRS = 400_000, 500_000
 
 
 class Memo(dict):
-    """A dict that computes what is missing and is emptied at ``limit`` entries."""
+    """A dict that computes what is missing. At ``limit`` entries it starts anew, and takes what is asked for again from the full one."""
 
     def __init__(self, compute, limit: int) -> None:
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.before = compute, limit, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.before.get(key, self)
+        if value is self:
+            value = self.compute(key)
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
         self[key] = value
         return value
