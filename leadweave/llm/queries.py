@@ -32,7 +32,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=None)
     none = F.col("text").isNull() | ((F.col("text") == "") & (F.col("_n_removed") > 0))
     n = F.when(none, F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
     return out.select("doc_id", F.col("_n_removed").alias("n_removed"), n.alias("n_lines_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

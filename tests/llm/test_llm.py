@@ -349,3 +349,14 @@ def test_pipeline(spark):
         step = now
     near = brute.near_duplicates([(r.doc_id, r.text) for r in out])
     assert len({c for _, _, c in near}) == len(near)
+
+
+def test_line_dedup_query_links_by_similarity_alone(spark, tmp_path):
+    from leadweave.llm.queries import QUERIES
+
+    lines = variants(2, 80, words=24, changes=3) + variants(3, 40, words=8, changes=1)
+    random.Random(5).shuffle(lines)
+    rows = [(k, "\n".join(lines[k * 4 : k * 4 + 4])) for k in range(30)]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_removed) for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect())
+    assert got == sorted((i, n) for i, _, n in brute.line_dedup(rows, radius=64))
