@@ -30,32 +30,35 @@ def _windows(words: str, width: int, of: str) -> Column:
 
 
 def items_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(item_id, width, hashes, shingles, q) of the items that have words; fewer than ``width`` of them are one shingle."""
+    """(item_id, k, width, hashes, shingles, q) of the items that have words; fewer than ``width`` of them are one shingle. Equal sets of shingles share k."""
     words = benchmark.select(F.col(item_col).alias("item_id"), plain_words(F.col(text_col).cast("string")).alias("w")).where("size(w) > 0")
     of = lambda kind: F.coalesce(*[F.when(F.least(F.size("w"), F.lit(width)) == k, F.array_distinct(_windows("w", k, kind))) for k in range(1, width + 1)])
     rows = words.select("item_id", F.least(F.size("w"), F.lit(width)).alias("width"), of("hash").alias("hashes"), of("string").alias("shingles"))
-    return rows.withColumn("q", F.size("shingles"))
+    ordered = F.sort_array("shingles")
+    return rows.withColumn("q", F.size("shingles")).withColumn("k", F.struct(F.xxhash64("width", ordered).alias("k1"), F.xxhash64("width", ordered, F.lit(11)).alias("k2")))
 
 
 def sketch_of(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(item_id, width, q, h): the sketch entries of each item, as many as its size partition asks for."""
+    """(k, width, q, h): the sketch entries of each distinct item (one row for each k), as many as its size partition asks for."""
     step = F.log(F.lit(SIZE_STEP))
     largest = F.floor(F.pow(F.lit(SIZE_STEP), F.floor(F.log("q") / step + F.lit(1e-9)) + 1))
     m = F.floor(F.lit(1 - threshold) * F.greatest(largest, F.col("q")) + F.lit(1e-9)) + 1
-    long = items.select("item_id", "width", "q", m.alias("m"), F.explode("hashes").alias("h"))
-    place = F.row_number().over(Window.partitionBy("item_id", "width", "q").orderBy(F.xxhash64("h", F.lit(5)), "h"))
-    return long.withColumn("place", place).where("place <= m").select("item_id", "width", "q", "h")
+    long = items.select("k", "width", "q", m.alias("m"), F.explode("hashes").alias("h"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("h", F.lit(5)), "h"))
+    return long.withColumn("place", place).where("place <= m").select("k", "width", "q", "h")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_cols: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """(*id_cols, item_id, n_found, q, containment): each row of docs with each item of which it contains ``threshold``.
 
     Containment is the share of an item's distinct shingles that the document has. Null and empty texts and items
-    contain nothing and are in nothing; items of one id are told apart by their texts and each gets a row;
-    repeated rows of docs repeat their rows; other columns are ignored.
+    contain nothing and are in nothing; items of one id are told apart by their shingles and each gets a row,
+    equal ones one row; a null item_id is an id like others; repeated rows of docs repeat their rows; other columns are ignored.
     """
     ids = id_cols or ["doc_id"]
-    items = cut(items_of(benchmark, item_col, item_text, width))
+    listed = cut(items_of(benchmark, item_col, item_text, width))
+    names = cut(listed.select("k", "item_id").distinct())
+    items = cut(listed.drop("item_id").dropDuplicates(["k"]))
     sketch = cut(sketch_of(items, threshold))
     widths = sorted(r[0] for r in sketch.select("width").distinct().collect())
     rows = docs.select(*[F.col(c).alias(f"_id{k}") for k, c in enumerate(ids)], F.col(text_col).cast("string").alias("text"))
@@ -65,19 +68,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_cols: list[str] | Non
     for k in widths:
         probes = words.where(F.size("w") >= k).select("t1", "t2", F.size("w").alias("n"), F.explode(_windows("w", k, "hash")).alias("h"))
         own = small_or_shuffled(sketch.where(F.col("width") == k).drop("width"), BROADCAST_ROWS)
-        hits = probes.join(own, "h").where(F.col("n") - (k - 1) >= F.col("q") * F.lit(threshold) - 1e-9).select("t1", "t2", "item_id")
+        hits = probes.join(own, "h").where(F.col("n") - (k - 1) >= F.col("q") * F.lit(threshold) - 1e-9).select("t1", "t2", "k")
         found = hits if found is None else found.union(hits)
     if found is None:
-        found = words.select("t1", "t2", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).limit(0)
-    candidates = cut(found.groupBy("t1", "t2").agg(F.collect_set("item_id").alias("items")))
-    near = rows.join(small_or_shuffled(candidates, BROADCAST_ROWS, F.size("items") * 8), ["t1", "t2"])
+        found = words.select("t1", "t2", F.lit(None).cast(items.schema["k"].dataType).alias("k")).limit(0)
+    candidates = cut(found.groupBy("t1", "t2").agg(F.collect_set("k").alias("items")))
+    near = rows.join(small_or_shuffled(candidates, BROADCAST_ROWS, F.size("items") * 16), ["t1", "t2"])
     near = near.select(*[f"_id{k}" for k in range(len(ids))], "items", plain_words(F.col("text")).alias("w"))
     have = F.create_map(*[x for k in widths for x in (F.lit(k), F.array_distinct(_windows("w", k, "string")))]) if widths else F.create_map().cast("map<int,array<string>>")
-    near = near.select(*[f"_id{k}" for k in range(len(ids))], have.alias("have"), F.explode("items").alias("item_id"))
-    exact = near.join(small_or_shuffled(items.drop("hashes"), BROADCAST_ROWS, F.size("shingles") * 60), "item_id")
+    near = near.select(*[f"_id{k}" for k in range(len(ids))], have.alias("have"), F.explode("items").alias("k"))
+    exact = near.join(small_or_shuffled(items.drop("hashes"), BROADCAST_ROWS, F.size("shingles") * 60), "k")
     n_found = F.size(F.array_intersect(F.col("shingles"), F.element_at("have", F.col("width"))))
-    exact = exact.select(*[f"_id{k}" for k in range(len(ids))], "item_id", n_found.cast("bigint").alias("n_found"), F.col("q").cast("bigint").alias("q"))
-    return exact.where(F.col("n_found") >= F.col("q") * F.lit(threshold) - 1e-9).select(*[F.col(f"_id{k}").alias(c) for k, c in enumerate(ids)], "item_id", "n_found", "q", (F.col("n_found") / F.col("q")).alias("containment"))
+    exact = exact.select(*[f"_id{k}" for k in range(len(ids))], "k", n_found.cast("bigint").alias("n_found"), F.col("q").cast("bigint").alias("q"))
+    held = exact.where(F.col("n_found") >= F.col("q") * F.lit(threshold) - 1e-9).join(small_or_shuffled(names, BROADCAST_ROWS), "k")
+    return held.select(*[F.col(f"_id{k}").alias(c) for k, c in enumerate(ids)], "item_id", "n_found", "q", (F.col("n_found") / F.col("q")).alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:

@@ -360,3 +360,18 @@ def test_line_dedup_query_links_by_similarity_alone(spark, tmp_path):
     table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.doc_id, r.n_removed) for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect())
     assert got == sorted((i, n) for i, _, n in brute.line_dedup(rows, radius=64))
+
+
+def test_decontamination_of_repeated_and_nameless_items(spark):
+    from leadweave.llm.decontamination import clean, contaminated
+
+    rng = random.Random(13)
+    text = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+    long, other, nameless = text(9), text(9), text(9)
+    bench = spark.createDataFrame([(1, " ".join(long))] * 3 + [(1, " ".join(other)), (None, " ".join(nameless))], "item_id bigint, text string")
+    # Each document has four of an item's five shingles, the first or the last one broken.
+    docs = [(k, " ".join([*item[:-1], "end"] if k % 2 else ["start", *item[1:]])) for k, item in enumerate([long, long, other, other, nameless, nameless])]
+    got = contaminated(table(spark, docs), bench).collect()
+    key = lambda x: (x[0], x[1] or 0)
+    assert sorted(((r.doc_id, r.item_id, r.n_found, r.q) for r in got), key=key) == [(k, 1 if k < 4 else None, 4, 5) for k in range(6)]
+    assert clean(table(spark, docs), bench).isEmpty()
