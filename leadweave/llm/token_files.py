@@ -35,15 +35,16 @@ class WordEncoder:
     White space never is part of a token of this vocabulary, and neither normaliser nor pre-tokeniser looks
     across it, so that words can be encoded apart. A run of Latin-1 letters, lower-cased and with its bytes
     mapped to characters as the pre-tokeniser maps them, is one unit of the library's BPE model, which is asked
-    directly; a single mark behind it is a unit of its own. Other new words go to the library in blocks.
+    directly; a single mark behind it is a unit of its own. Other new words go to the library in blocks. With ``special``,
+    special tokens that stand in the text are matched, which is the library's own way; without, they are text.
     """
 
-    def __init__(self, path: str, end: int) -> None:
+    def __init__(self, path: str, end: int, special: bool = False) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         self.model = self.library.model
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4")
         self.end = np.array([end], self.dtype).tobytes()
@@ -112,8 +113,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, end: int) -> WordEncoder:
-    return WordEncoder(path, end)
+def encoder(path: str, end: int, special: bool = False) -> WordEncoder:
+    return WordEncoder(path, end, special)
 
 
 def local_folder(url: str) -> Path:
@@ -124,7 +125,7 @@ def local_folder(url: str) -> Path:
     return Path(parts.path)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """Write the token files of docs to ``folder`` (shared by all executors); (part, n_docs, n_null, n_tokens) of each part.
 
     Rows are dealt out by ranges of (id, hash of the text) and sorted, before they are encoded, so that texts are
@@ -137,7 +138,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         names = {kind: (at / f"{part:05d}.{attempt}.{kind}.tmp", at / f"{part:05d}.{kind}") for kind in ("bin", "off", "doc")}
-        coder = encoder(tokenizer, end)
+        coder = encoder(tokenizer, end, special)
         total = n = null = 0
         with open(names["bin"][0], "wb") as ids, open(names["off"][0], "wb") as offsets, open(names["doc"][0], "wb") as doc_ids:
             offsets.write(np.zeros(1, "<u8").tobytes())
@@ -185,11 +186,11 @@ def read(parts: DataFrame, folder: str, dtype: str = "<u2", fold: int = 20_000)
     return table.repartition(spread).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end: int = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end: int = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """write() and read(); without a folder, the files go to a new one in the shared checkpoint folder."""
     folder = folder or f"{shared_dir(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    parts = write(docs, folder, tokenizer, end, id_col, text_col)
-    return read(parts, folder, encoder(tokenizer, end).dtype.str)
+    parts = write(docs, folder, tokenizer, end, id_col, text_col, special)
+    return read(parts, folder, encoder(tokenizer, end, special).dtype.str)
 
 
 __all__ = ["WordEncoder", "read", "round_trip", "write"]

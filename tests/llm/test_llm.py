@@ -375,3 +375,19 @@ def test_decontamination_of_repeated_and_nameless_items(spark):
     key = lambda x: (x[0], x[1] or 0)
     assert sorted(((r.doc_id, r.item_id, r.n_found, r.q) for r in got), key=key) == [(k, 1 if k < 4 else None, 4, 5) for k in range(6)]
     assert clean(table(spark, docs), bench).isEmpty()
+
+
+def test_token_files_query_matches_special_tokens(spark, tmp_path):
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from leadweave.llm.queries import QUERIES
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b, <|startoftext|>é", "<|ENDOFTEXT|> <|endoftext|><|endoftext|>", None]
+    table(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op9_token_files"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    ids = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in texts]
+    assert 49407 in ids[0] and [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(x.tobytes())) for x in ids]
