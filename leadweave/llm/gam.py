@@ -13,10 +13,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, held_out
+from .common import bounded_sample, cut, held_out, map_batches, raw_texts
 from .quality import repeated_words
 
 FEATURES = ("words", "word_length", "upper", "punctuation", "symbols", "digits", "line_words", "dup_lines", "repeats", "stutter", "distinct", "long_words", "ends")
@@ -43,13 +43,15 @@ def features(text: bytes) -> tuple[float, ...]:
     )
 
 
-def _features(text: pa.Array) -> pa.Array:
-    rows = [features(t or b"") for t in text.cast(pa.large_binary()).to_pylist()]
-    return pa.array([list(r) for r in rows], pa.list_(pa.float32()))
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, x): FEATURES of each row's whole text, a slice of rows at a time."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array([features(t) for t in raw_texts(batch)], np.float32).reshape(batch.num_rows, len(FEATURES))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.float32()))], names=["doc_id", "x"])
 
-def measured(text: Column) -> Column:
-    return F.arrow_udf(_features, "array<float>")(text.cast("string"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"doc_id {kind}, x array<float>")
 
 
 @dataclass
@@ -169,7 +171,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Repeated rows are scored alike; other columns are ignored; without labels every score is 0.5.
     """
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), measured(F.col(text_col)).alias("x")))
+    rows = cut(measured(docs, id_col, text_col))
     model = train(rows, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

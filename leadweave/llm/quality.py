@@ -1,7 +1,10 @@
 """Quality rules whose cut-offs come from the data: mergeable quantile sketches per language and source.
 
 A sketch counts values in buckets of equal relative width (a log-bucket histogram), so that sketches of parts
-merge by adding counts and give the same quantiles however the rows are split up.
+merge by adding counts and give the same quantiles however the rows are split up. A rule's cut-off in a group lies
+FENCE interquartile ranges above the upper quartile of the group's values above zero. Groups lean on what they are part
+of: a cut-off is the mean of the group's own, weighed by its rows, and its language's, weighed as PRIOR rows; the
+language's own leans on all rows in the same way. Nothing else limits a ratio.
 """
 
 from __future__ import annotations
@@ -15,36 +18,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, BROADCAST_ROWS, cut, fresh, rolling
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, cut, fresh, map_batches, mix, raw_texts, rolling
 
 #: The base rules' fixed values.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW, SYMBOLS = 20, 30, 8, b"#*$%&|<>"
-#: Relative width of a sketch's buckets; rows a group needs for cut-offs of its own.
-WIDTH, MIN_ROWS = 1.02, 50
+#: Relative width of a sketch's buckets, the fence, and the rows that a wider group counts as. A bucket holds the zeros.
+WIDTH, FENCE, PRIOR, ZERO = 1.02, 6.0, 50.0, -(10**6)
 #: Salts for the hot groups of a threshold join that is too large to broadcast.
 SALTS = 32
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio and how its adaptive upper cut-off is made: q75 + fence * (q75 - q25), and at least ``least``."""
+    """A ratio that may not be above its group's cut-off."""
 
     name: str
     above: str
     below: str
-    least: float
-    fence: float = 3.0
 
 
-#: least is the slack under which no document is rejected, whatever its group looks like.
 RULES = (
-    Rule("symbols", "n_symbols", "word_chars", 0.05),
-    Rule("upper", "n_upper", "word_chars", 0.40),
-    Rule("punctuation", "n_punct", "word_chars", 0.20),
-    Rule("word_length", "word_chars", "n_words", 15.0),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 0.50),
-    Rule("repeats", "n_repeat_words", "n_words", 0.30),
-    Rule("stutter", "n_stutter", "n_words", 0.30),
+    Rule("symbols", "n_symbols", "word_chars"),
+    Rule("upper", "n_upper", "word_chars"),
+    Rule("punctuation", "n_punct", "word_chars"),
+    Rule("word_length", "word_chars", "n_words"),
+    Rule("dup_lines", "n_dup_lines", "n_lines"),
+    Rule("repeats", "n_repeat_words", "n_words"),
+    Rule("stutter", "n_stutter", "n_words"),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_stutter")
 _CONTINUATION, _UPPER = bytes(range(0x80, 0xC0)), bytes(range(65, 91))
@@ -70,27 +70,42 @@ def repeated_words(words: list[bytes], width: int = REPEAT_WINDOW) -> int:
     """Words within windows of ``width`` words that are found twice or more, first ones included."""
     if len(words) <= width:
         return 0
-    h = rolling(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), width)
+    numbers: dict[bytes, int] = {}
+    own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    with np.errstate(over="ignore"):
+        h = rolling(mix(own.view(np.uint64) + np.uint64(1)), width)
     order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
+    a, b = order[:-1], order[1:]
+    same = h[a] == h[b]
     if not same.any():
         return 0
+    a, b = a[same], b[same]
+    if not all(np.array_equal(own[a + k], own[b + k]) for k in range(width)):  # two windows share a hash: count by the words themselves
+        at: dict[tuple, list[int]] = {}
+        for k in range(len(h)):
+            at.setdefault(tuple(own[k : k + width].tolist()), []).append(k)
+        a = b = np.array([k for places in at.values() if len(places) > 1 for k in places], np.int64)
     twice = np.zeros(len(h), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    twice[a] = twice[b] = True
     edge = np.zeros(len(words) + 1, np.int64)
     edge[np.flatnonzero(twice)] += 1
     edge[np.flatnonzero(twice) + width] -= 1
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _counts(text: pa.Array) -> pa.Array:
-    rows = [count(t or b"") for t in text.cast(pa.large_binary()).to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS))], names=list(COUNTS))
+def counted(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """rows with COUNTS of their text in a struct column ``name``; texts are counted whole, a slice of rows at a time."""
+    own = rows.columns
+    at = own.index(text_col)
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [count(t) for t in raw_texts(batch, f"c{at}")]
+        columns = [pa.array([r[k] for r in found], pa.int64()) for k in range(len(COUNTS))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *COUNTS])
 
-def counts(text: Column) -> Column:
-    """COUNTS of a text column as a struct."""
-    return F.arrow_udf(_counts, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")(text)
+    numbered = rows.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(own)])
+    schema = ", ".join([*(f"c{k} {kind}" for k, (_, kind) in enumerate(numbered.dtypes)), *(f"{c} bigint" for c in COUNTS)])
+    return map_batches(numbered, run, schema).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(own)], F.struct(*COUNTS).alias(name))
 
 
 def base_failed(n: str) -> Column:
@@ -105,34 +120,31 @@ def value(rule: Rule, n: str) -> Column:
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, rule, bucket, n) over the rows of ``measured`` (lang, source, n) that pass the base rules."""
     long = measured.where(~base_failed("n")).select("lang", "source", F.inline(F.array(*[F.struct(F.lit(r.name).alias("rule"), value(r, "n").alias("v")) for r in RULES])))
-    bucket = F.when(F.col("v") < 1e-6, F.lit(-(10**6))).otherwise(F.ceil(F.log(F.col("v")) / F.log(F.lit(WIDTH))).cast("int"))
+    bucket = F.when(F.col("v") <= 0, F.lit(ZERO)).otherwise(F.ceil(F.log(F.col("v")) / F.log(F.lit(WIDTH))).cast("int"))
     return long.groupBy("lang", "source", "rule", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cutoffs(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def _fences(sketch: DataFrame, keys: list[str], level: str) -> DataFrame:
+    """(*keys, rule, <level>_n, <level>): the rows above zero and the cut-off of each merged sketch (null if it has none)."""
+    merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum(F.when(F.col("bucket") > ZERO, F.col("n")).otherwise(F.lit(0))).alias("n"))
+    w = Window.partitionBy(*keys, "rule")
+    ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
+    at = lambda q: F.pow(F.lit(WIDTH), F.min(F.when((F.col("bucket") > ZERO) & (F.col("upto") >= q * F.col("total")), F.col("bucket"))))
+    found = ranked.groupBy(*keys, "rule").agg(F.max("total").alias(f"{level}_n"), at(0.25).alias("low"), at(0.75).alias("high"))
+    return found.select(*keys, "rule", f"{level}_n", (F.col("high") + F.lit(FENCE) * (F.col("high") - F.col("low"))).alias(level))
+
+
+def cutoffs(sketch: DataFrame) -> DataFrame:
     """(lang, source, limits: map from rule to cut-off) of every group in ``sketch``.
 
-    A group of fewer than min_rows rows takes the cut-offs of its language's merged sketch, and that of the
-    sketch of all rows if the language has too few as well. Null languages and sources are groups like others.
+    Null languages and sources are groups like others. A rule has no cut-off (null) if no row has a value above zero.
     """
-    levels = [(["lang", "source"], "own"), (["lang"], "wide"), ([], "all")]
-    found = {}
-    for keys, level in levels:
-        merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*keys, "rule")
-        ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-        at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bucket")))  # noqa: B023, E731
-        found[level] = ranked.groupBy(*keys, "rule").agg(F.max("total").alias(f"{level}_n"), at(0.25).alias("low"), at(0.75).alias("high"))
-        mid = lambda b: F.when(F.col(b) <= -(10**6), F.lit(0.0)).otherwise(F.pow(F.lit(WIDTH), F.col(b)))
-        fence = F.create_map(*[x for r in RULES for x in (F.lit(r.name), F.lit(r.fence))])[F.col("rule")]
-        found[level] = found[level].select(*keys, "rule", f"{level}_n", (mid("high") + fence * (mid("high") - mid("low"))).alias(level))
-    own, wide = found["own"].alias("o"), found["wide"].alias("w")
-    joined = own.join(wide, F.col("o.lang").eqNullSafe(F.col("w.lang")) & (F.col("o.rule") == F.col("w.rule"))).select("o.lang", "o.source", "o.rule", "own_n", "own", "wide_n", "wide")
-    joined = joined.join(found["all"], "rule")
-    least = F.create_map(*[x for r in RULES for x in (F.lit(r.name), F.lit(r.least))])[F.col("rule")]
-    limit = F.when(F.col("own_n") >= min_rows, F.col("own")).when(F.col("wide_n") >= min_rows, F.col("wide")).otherwise(F.col("all"))
-    limits = F.map_from_entries(F.collect_list(F.struct("rule", F.greatest(limit, least).alias("v"))))
-    return joined.groupBy("lang", "source").agg(limits.alias("limits"))
+    leaning = lambda n, own, wide: F.coalesce((F.col(n) * F.col(own) + F.lit(PRIOR) * wide) / (F.col(n) + F.lit(PRIOR)), own, wide)
+    wide, every = _fences(sketch, ["lang"], "wide").alias("w"), _fences(sketch, [], "every")
+    by_lang = wide.join(F.broadcast(every), "rule").select("rule", "lang", leaning("wide_n", "wide", F.col("every")).alias("limit"))
+    own = _fences(sketch, ["lang", "source"], "own").alias("o")
+    joined = own.join(by_lang.alias("w"), F.col("o.lang").eqNullSafe(F.col("w.lang")) & (F.col("o.rule") == F.col("w.rule"))).select("o.lang", "o.source", "o.rule", leaning("own_n", "own", F.col("limit")).alias("v"))
+    return joined.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rule", "v"))).alias("limits"))
 
 
 def with_cutoffs(rows: DataFrame, limits: DataFrame, lang: Column, source: Column, name: str = "_limits") -> DataFrame:
@@ -162,23 +174,27 @@ def _group(docs: DataFrame, name: str) -> Column:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, the five counts, base_failed, kept, and the first rule that rejected it (null if none) of each row.
 
-    Null texts count as empty and fail the base rules; an empty table gives an empty one; repeated rows are
-    judged alike; other columns are ignored.
+    Null texts count as empty and fail the base rules; texts are counted whole; an empty table gives an empty one; repeated rows
+    are judged alike, each counting in the sketches; a value equal to its cut-off passes; other columns are ignored.
     """
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), _group(docs, lang).alias("lang"), _group(docs, source).alias("source"), counts(F.col(text_col).cast("string")).alias("n")))
-    limits = cut(cutoffs(sketches(rows)))
+    rows = cut(counted(docs.select(F.col(id_col).alias("doc_id"), _group(docs, lang).alias("lang"), _group(docs, source).alias("source"), F.col(text_col).cast("string").alias("text")), "text", "n").drop("text"))
+    limits = cut(cutoffs(cut(sketches(rows))))
     joined = with_cutoffs(rows, limits, F.col("lang"), F.col("source"))
     reason = F.coalesce(F.when(base_failed("n"), F.lit("base")), *[F.when(value(r, "n") > F.col("_limits")[r.name], F.lit(r.name)) for r in RULES])
     return joined.select("doc_id", *[F.col(f"n.{c}").alias(c) for c in COUNTS[:5]], base_failed("n").alias("base_failed"), verdict("n").alias("kept"), reason.alias("rejected_by"))
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns; texts are read twice and never shuffled."""
-    grouped = docs.select(_group(docs, lang).alias("lang"), _group(docs, source).alias("source"), counts(F.col(text_col).cast("string")).alias("n"))
+    """The rows of docs that judge() keeps, with all their columns; texts are read twice and never shuffled.
+
+    Null texts go, as those of too few words; an empty table gives an empty one; repeated rows stay or go together;
+    columns may have any names. Without a language or source column all rows count as of one.
+    """
+    grouped = counted(docs.select(_group(docs, lang).alias("lang"), _group(docs, source).alias("source"), F.col(text_col).cast("string").alias("text")), "text", "n").drop("text")
     limits = cut(cutoffs(cut(sketches(grouped))))
     n, own = fresh(docs, "_n", "_limits")
-    rows = docs.withColumn(n, counts(F.col(text_col).cast("string")))
+    rows = counted(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, n)
     return with_cutoffs(rows, limits, _group(docs, lang), _group(docs, source), own).where(verdict(n, own)).select(*docs.columns)
 
 
-__all__ = ["Rule", "RULES", "count", "cutoffs", "filter_documents", "judge", "sketches"]
+__all__ = ["Rule", "RULES", "count", "counted", "cutoffs", "filter_documents", "judge", "sketches"]
