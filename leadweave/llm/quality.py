@@ -2,14 +2,16 @@
 
 A sketch counts values in buckets of equal relative width (a log-bucket histogram), so that sketches of parts
 merge by adding counts and give the same quantiles however the rows are split up. A rule's cut-off in a group lies
-FENCE interquartile ranges above the upper quartile of the group's values above zero. Groups lean on what they are part
+FENCE interquartile ranges above the upper quartile of the group's values; ratios of repetition, which most texts have none
+of, leave out zeros for that, and the others have SLACK on top, for groups that are all alike. Groups lean on what they are part
 of: a cut-off is the mean of the group's own, weighed by its rows, and its language's, weighed as PRIOR rows; the
-language's own leans on all rows in the same way. Nothing else limits a ratio.
+language's own leans on all rows in the same way.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from operator import eq
 
 import numpy as np
@@ -22,19 +24,20 @@ from .common import BROADCAST_BYTES, BROADCAST_ROWS, cut, fresh, map_batches, mi
 
 #: The base rules' fixed values.
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW, SYMBOLS = 20, 30, 8, b"#*$%&|<>"
-#: Relative width of a sketch's buckets, the fence, and the rows that a wider group counts as. A bucket holds the zeros.
-WIDTH, FENCE, PRIOR, ZERO = 1.02, 6.0, 50.0, -(10**6)
+#: Relative width of a sketch's buckets, the fence, the rows that a wider group counts as, and the slack. A bucket holds the zeros.
+WIDTH, FENCE, PRIOR, SLACK, ZERO = 1.02, 6.0, 50.0, 0.01, -(10**6)
 #: Salts for the hot groups of a threshold join that is too large to broadcast.
 SALTS = 32
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio that may not be above its group's cut-off."""
+    """A ratio that may not be above its group's cut-off; zeros: whether its sketch counts them."""
 
     name: str
     above: str
     below: str
+    zeros: bool = True
 
 
 RULES = (
@@ -42,9 +45,9 @@ RULES = (
     Rule("upper", "n_upper", "word_chars"),
     Rule("punctuation", "n_punct", "word_chars"),
     Rule("word_length", "word_chars", "n_words"),
-    Rule("dup_lines", "n_dup_lines", "n_lines"),
-    Rule("repeats", "n_repeat_words", "n_words"),
-    Rule("stutter", "n_stutter", "n_words"),
+    Rule("dup_lines", "n_dup_lines", "n_lines", zeros=False),
+    Rule("repeats", "n_repeat_words", "n_words", zeros=False),
+    Rule("stutter", "n_stutter", "n_words", zeros=False),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_stutter")
 _CONTINUATION, _UPPER = bytes(range(0x80, 0xC0)), bytes(range(65, 91))
@@ -125,19 +128,25 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def _fences(sketch: DataFrame, keys: list[str], level: str) -> DataFrame:
-    """(*keys, rule, <level>_n, <level>): the rows above zero and the cut-off of each merged sketch (null if it has none)."""
-    merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum(F.when(F.col("bucket") > ZERO, F.col("n")).otherwise(F.lit(0))).alias("n"))
+    """(*keys, rule, <level>_n, <level>): the rows that count and the cut-off of each merged sketch (0 and null if it has none)."""
+    counts = (F.col("bucket") > ZERO) | F.col("rule").isin([r.name for r in RULES if r.zeros])
+    merged = sketch.where(counts).groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "rule")
     ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    at = lambda q: F.pow(F.lit(WIDTH), F.min(F.when((F.col("bucket") > ZERO) & (F.col("upto") >= q * F.col("total")), F.col("bucket"))))
+    mid = F.when(F.col("bucket") > ZERO, F.pow(F.lit(WIDTH), F.col("bucket"))).otherwise(F.lit(0.0))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), mid))
+    slack = F.when(F.col("rule").isin([r.name for r in RULES if r.zeros]), F.lit(SLACK)).otherwise(F.lit(0.0))
     found = ranked.groupBy(*keys, "rule").agg(F.max("total").alias(f"{level}_n"), at(0.25).alias("low"), at(0.75).alias("high"))
-    return found.select(*keys, "rule", f"{level}_n", (F.col("high") + F.lit(FENCE) * (F.col("high") - F.col("low"))).alias(level))
+    limits = found.select(*keys, "rule", f"{level}_n", (F.col("high") + F.lit(FENCE) * (F.col("high") - F.col("low")) + slack).alias(level))
+    every = sketch.select(*keys, "rule").distinct()
+    same = reduce(lambda x, k: x & F.col(f"e.{k}").eqNullSafe(F.col(f"f.{k}")), [*keys, "rule"], F.lit(True))
+    return every.alias("e").join(limits.alias("f"), same, "left").select(*[f"e.{k}" for k in [*keys, "rule"]], F.coalesce(f"f.{level}_n", F.lit(0)).alias(f"{level}_n"), f"f.{level}")
 
 
 def cutoffs(sketch: DataFrame) -> DataFrame:
     """(lang, source, limits: map from rule to cut-off) of every group in ``sketch``.
 
-    Null languages and sources are groups like others. A rule has no cut-off (null) if no row has a value above zero.
+    Null languages and sources are groups like others. A rule has no cut-off (null) if no row counts for it.
     """
     leaning = lambda n, own, wide: F.coalesce((F.col(n) * F.col(own) + F.lit(PRIOR) * wide) / (F.col(n) + F.lit(PRIOR)), own, wide)
     wide, every = _fences(sketch, ["lang"], "wide").alias("w"), _fences(sketch, [], "every")
