@@ -1,7 +1,7 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a span classifier decides.
 
 Base spans come from strict patterns and always stay. Loose patterns give more candidates (numbers with other
-groupings, written-out addresses, names behind a title). On each candidate, base or not, five labelers vote yes (1),
+groupings, written-out addresses, names behind a title, keys and tokens, card numbers inside longer runs of digits). On each candidate, base or not, five labelers vote yes (1),
 no (-1) or abstain (0): a format pattern, a gazetteer, words before, the characters around, and its shape.
 Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability without labels; its posteriors
 then train a logistic span classifier on features that the labelers don't see all of. Candidates it accepts are added
@@ -42,26 +42,49 @@ LOOSE = {
     "number": r"(?<![\w.])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){1,5}(?![\w])",
     "address": r"(?i)[a-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[a-z0-9-]{1,63}){1,4}",
     "name": r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Mlle|Sra?)\.?\x20\p{Lu}\p{Ll}{1,30}(?:\x20\p{Lu}\p{Ll}{1,30})?",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,256}={0,2}(?![A-Za-z0-9_+/=-])",
+    "card_run": r"(?<![\w.+])[0-9]{14,19}(?![\w])",
 }
-# Gazetteers. Common top-level domains, calling codes, issuer prefixes of cards, and given names.
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "ch", "at", "it", "nl")
-CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "82", "86", "91")
+# Gazetteers. Common top-level domains, calling codes, issuer prefixes of cards, given names, and prefixes of issued keys.
+DOMAINS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "ai", "app", "dev", "co", "me", "tv", "us", "ca", "mx", "br", "ar", "cl", "uk", "ie", "fr", "de", "at", "ch", "es", "pt", "it", "nl", "be", "lu",
+    "dk", "se", "no", "fi", "is", "pl", "cz", "sk", "hu", "ro", "bg", "gr", "tr", "ru", "ua", "eu", "il", "za", "ng", "ke", "eg", "ma", "in", "pk", "cn", "hk", "tw", "jp", "kr", "sg", "my", "th", "vn", "ph", "id", "au", "nz",
+)
+CALLING_CODES = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86",
+    "90", "91", "92", "93", "94", "95", "98", "212", "213", "216", "234", "254", "351", "352", "353", "354", "358", "359", "370", "371", "372", "380", "385", "386", "420", "421", "852", "886", "966", "971", "972",
+)
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
-NAMES = ("Anna", "Carlos", "Claire", "David", "Emma", "Hans", "James", "Jean", "John", "Jose", "Karl", "Lucia", "Maria", "Marie", "Mary", "Michael", "Paul", "Peter", "Pierre", "Robert", "Thomas")
+NAMES = (
+    "Alexander", "Alice", "Ana", "Andrea", "Andrew", "Anna", "Anne", "Antoine", "Antonio", "Barbara", "Carlos", "Carmen", "Charles", "Christian", "Claire", "Daniel", "David", "Elena", "Elisabeth", "Emily", "Emma", "Eva", "Fernando",
+    "Francisco", "Franz", "Friedrich", "George", "Hannah", "Hans", "Heinrich", "Helena", "Henri", "Isabel", "James", "Jan", "Jean", "John", "Jose", "Joseph", "Juan", "Julia", "Karl", "Katharina", "Laura", "Linda", "Louis", "Lucia",
+    "Luis", "Maria", "Marie", "Mark", "Martin", "Mary", "Michael", "Michel", "Miguel", "Nicolas", "Olivia", "Patricia", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Rafael", "Richard", "Robert", "Sarah", "Sofia", "Sophie",
+    "Stefan", "Susan", "Thomas", "Victoria", "William", "Wolfgang",
+)
+KEY_PREFIXES = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abpr]-|sk_live_|sk_test_|pk_live_|SG\.|eyJ|ya29)"
+SECRET_CUES = r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|key|bearer|authorization|credentials?)\b[\x22'\s]{0,3}[:=]{0,2}>?[\s\x22']{0,3}$"
+SECRET_NEGATIVE_CUES = r"(?i)\b(?:commit|sha1?|sha256|md5|checksum|hash|digest|etag|uuid|integrity|rev|revision)\b\W{0,6}$"
 CUES = r"(?i)\b(?:e-?mail|mail|contact|phone|tel|call|fax|mobile|cell|card|visa|konto|address|host|from|name|signed|kontakt|telefon|correo|courriel)\b\W{0,3}$"
 NEGATIVE_CUES = r"(?i)\b(?:version|v|isbn|issn|order|page|pp|vol|section|id|sha|token|build|license|licence)\b\W{0,4}$"
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 KINDS = (*BASE, *LOOSE)
 #: Kinds whose strict check is arithmetic: a candidate that fails it teaches the models, but is never added.
-VETO = ("card", "ip")
+VETO = ("card", "ip", "card_run")
 LABELERS = ("format", "gazetteer", "before", "around", "shape")
 #: EM: rounds, and the votes that each labeler is credited with before any are counted (yes on true, no on false).
 ROUNDS, PRIOR_HITS, PRIOR_MISSES = 40, 40.0, 10.0
 CONTEXT = 40
+#: Base spans before a place that are looked at.
+NEAR = 32
+#: Matches whose places are summed up at once.
+CHUNK = 256
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, s>> of the leftmost non-overlapping matches, in code points, end exclusive."""
+    """array<struct<start, end, s>> of the leftmost non-overlapping matches, in code points, end exclusive.
+
+    Places are summed up by chunks of CHUNK matches, so that lists are copied within a chunk and once for each chunk only.
+    """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     at = lambda acc, x: acc["pos"] + F.length(x["gap"])
     nothing = F.array().cast("array<struct<start:int,end:int,s:string>>")
@@ -71,7 +94,10 @@ def matches(text: Column, pattern: str) -> Column:
             F.concat(acc["out"], F.array(F.struct(at(acc, x).alias("start"), (at(acc, x) + F.length(x["hit"])).alias("end"), x["hit"].alias("s")))).alias("out"),
         )
     )
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), nothing.alias("out")), add, lambda acc: acc["out"])
+    one = lambda part, pos: F.aggregate(part, F.struct(pos.alias("pos"), nothing.alias("out")), add)
+    chunk = lambda acc, k: F.transform(F.array(one(F.slice(pairs, k * CHUNK + 1, F.lit(CHUNK)), acc["pos"])), lambda done: F.struct(done["pos"].alias("pos"), F.concat(acc["out"], F.array(done["out"])).alias("out")))[0]
+    whole = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(pairs) / CHUNK).cast("int")), F.struct(F.lit(0).alias("pos"), F.array().cast("array<array<struct<start:int,end:int,s:string>>>").alias("out")), chunk, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(pairs) <= CHUNK, one(pairs, F.lit(0))["out"]).otherwise(whole)
 
 
 def _digits(s: Column) -> Column:
@@ -113,6 +139,8 @@ def _candidate(text: Column, kind: str, x: Column) -> Column:
         "number": (n >= 9) & (n <= 12) & (F.length(s) - n >= 2),
         "address": s.rlike(r"(?i)(?:\(at\)|\[at\])"),
         "name": s.rlike(r"\x20\p{Lu}\p{Ll}+\x20\p{Lu}\p{Ll}+$"),
+        "secret": s.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32,128})$") | (s.rlike("[0-9]") & s.rlike("[a-z]") & s.rlike("[A-Z]")),
+        "card_run": valid("card", s),
     }.get(kind)
     strict = valid(kind, s) if strict is None else strict
     listed = {
@@ -120,9 +148,11 @@ def _candidate(text: Column, kind: str, x: Column) -> Column:
         "address": F.lower(F.regexp_extract(s, r"([A-Za-z0-9-]+)$", 1)).isin(*DOMAINS),
         "ip": ~s.rlike(r"^(?:0|10|127|22[4-9]|2[3-5][0-9])\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\."),
         "card": _digits(s).rlike(ISSUERS),
-        "phone": F.greatest(*[_digits(s).startswith(c) for c in CALLING_CODES]),
+        "phone": _digits(s).rlike("^(?:" + "|".join(CALLING_CODES) + ")"),
         "number": s.rlike(r"^\([0-9]{2,5}\)") | s.rlike(r"^[0-9]{3}[-./][0-9]{3}[-./][0-9]{4}$"),
-        "name": F.greatest(*[F.instr(s, w) > 0 for w in NAMES]),
+        "name": s.rlike(r"\b(?:" + "|".join(NAMES) + r")\b"),
+        "secret": s.rlike(KEY_PREFIXES) | ~s.rlike(r"[A-Za-z]{12,}"),
+        "card_run": s.rlike(ISSUERS),
     }[kind]
     shape = {
         "email": F.length(s) <= 64,
@@ -132,8 +162,10 @@ def _candidate(text: Column, kind: str, x: Column) -> Column:
         "phone": s.rlike(r"[\x20().-]"),
         "number": n >= 10,
         "name": F.length(s) >= 10,
+        "secret": (n >= 4) & (F.length(s) >= 24),
+        "card_run": n == 16,
     }[kind]
-    votes = [_vote(strict, ~strict), _vote(listed, ~listed), _vote(before.rlike(CUES), before.rlike(NEGATIVE_CUES)), _vote(~part_of, part_of), _vote(shape, ~shape)]
+    votes = [_vote(strict, ~strict), _vote(listed, ~listed), _vote(before.rlike(SECRET_CUES if kind == "secret" else CUES), before.rlike(SECRET_NEGATIVE_CUES if kind == "secret" else NEGATIVE_CUES)), _vote(~part_of, part_of), _vote(shape, ~shape)]
     size = F.when(n == 0, F.lit(0)).when(n < 10, F.lit(1)).when(n < 14, F.lit(2)).otherwise(F.lit(3))
     groups = s.rlike(r"[\x20().-]")
     return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), *[v.alias(name) for v, name in zip(votes, LABELERS, strict=True)], size.alias("size"), groups.alias("groups"))
@@ -144,13 +176,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     text, marked = F.col("text"), F.col("text").rlike("[0-9@]")
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    asks = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": marked, "card": marked, "number": marked, "address": F.contains(F.lower(text), F.lit("at")) & text.rlike(r"(?i)[(\[]at[)\]]"), "name": F.lit(True)}
+    asks = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": marked, "card": marked, "number": marked, "address": F.contains(F.lower(text), F.lit("at")) & text.rlike(r"(?i)[(\[]at[)\]]"), "name": F.lit(True), "secret": text.rlike("[A-Za-z0-9_+/-]{20}"), "card_run": text.rlike("[0-9]{14}")}
     for kind, pattern in (_FAST | LOOSE).items():
         rows = rows.withColumn(kind, F.when(asks[kind], matches(text, pattern)).otherwise(none))
     span = lambda kind, k: F.transform(F.filter(F.col(kind), lambda x: valid(kind, x["s"])), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), F.lit(kind).alias("kind")))
     base = F.array_sort(F.concat(*[span(kind, k) for k, kind in enumerate(BASE)]))
-    # A run of digits that is too short for a card is no candidate for one.
-    worth = {"card": lambda x: F.length(_digits(x["s"])) >= 13}
+    # A run of digits that is too short for a card is no candidate for one, and a secret has letters and digits.
+    worth = {"card": lambda x: F.length(_digits(x["s"])) >= 13, "secret": lambda x: x["s"].rlike("[0-9]") & x["s"].rlike("[A-Za-z]")}
     judged = lambda kind: F.transform(F.filter(F.col(kind), worth.get(kind, lambda x: F.lit(True))), lambda x: _candidate(text, kind, x))
     found = F.concat(*[judged(kind) for kind in KINDS])
     return rows.select("doc_id", base.alias("base"), found.alias("found"))
@@ -245,7 +277,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     found = cut(candidates(docs, id_col, text_col))
     model = learn(found)
-    apart = lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    # Base spans are in order of their start: only those from NEAR before the first one behind x can reach into it.
+    steps = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
+    behind = lambda x: F.aggregate(steps, F.lit(0), lambda at, k: F.when((at + k <= F.size("base")) & (F.get(F.col("base"), at + k - 1)["start"] < x["end"]), at + k).otherwise(at))
+    reach = lambda x: F.when(F.size("base") <= NEAR, F.col("base")).otherwise(F.slice("base", F.greatest(behind(x) - (NEAR - 1), F.lit(1)), F.lit(NEAR)))
+    apart = lambda x: ~F.exists(reach(x), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     added = F.filter(F.col("found"), lambda x: apart(x) & ~(x["kind"].isin(*VETO) & (x[LABELERS[0]] < 0)) & (_score(model, x) >= 0))
     order = F.create_map(*[y for k, kind in enumerate(KINDS) for y in (F.lit(kind), F.lit(k))])
     kind = lambda x: F.when(x["kind"].isin(*BASE), F.concat(x["kind"], F.lit("_like"))).otherwise(x["kind"])
