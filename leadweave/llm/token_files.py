@@ -39,7 +39,7 @@ class WordEncoder:
     special tokens that stand in the text are matched, which is the library's own way; without, they are text.
     """
 
-    def __init__(self, path: str, end: int, special: bool = False) -> None:
+    def __init__(self, path: str, end: int, special: bool = True) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -113,7 +113,7 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, end: int, special: bool = False) -> WordEncoder:
+def encoder(path: str, end: int, special: bool = True) -> WordEncoder:
     return WordEncoder(path, end, special)
 
 
@@ -125,7 +125,7 @@ def local_folder(url: str) -> Path:
     return Path(parts.path)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:
     """Write the token files of docs to ``folder`` (shared by all executors); (part, n_docs, n_null, n_tokens) of each part.
 
     Rows are dealt out by ranges of (id, hash of the text) and sorted, before they are encoded, so that texts are
@@ -186,7 +186,7 @@ def read(parts: DataFrame, folder: str, dtype: str = "<u2", fold: int = 20_000)
     return table.repartition(spread).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end: int = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end: int = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:
     """write() and read(); without a folder, the files go to a new one in the shared checkpoint folder."""
     folder = folder or f"{shared_dir(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     parts = write(docs, folder, tokenizer, end, id_col, text_col, special)
