@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from math import ceil
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ WORD_SEPARATORS = "[\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset.
 
-    Unset on a cluster, it is a folder below the warehouse, which is shared; a temporary folder is
-    made for a local master only.
+    Unset on a cluster, it is a folder below the warehouse, which is shared unless it is a local folder: then the
+    setting is asked for. A temporary folder is made for a local master only.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -35,38 +36,63 @@ def shared_dir(spark: SparkSession) -> str:
             found = "file://" + tempfile.mkdtemp(prefix="leadweave-")
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_leadweave"
+            if urlparse(found).scheme in ("", "file"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-_written: list[str] = []
+#: Tables written, by scope: the innermost one gets what cut() writes.
+_scopes: list[list[str]] = [[]]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept as a Parquet table in the shared folder, so that a lost executor costs no recomputation.
 
-    Reading a table, plans also start from its true size. Tables stay until clear() or the end of the process.
+    Reading a table, plans also start from its true size. A table stays until its scope() ends, it is dropped, or the process ends.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/leadweave-{uuid.uuid4().hex}"
-    _written.append(path)
+    _scopes[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() has returned and nothing reads any more."""
+    for df in tables:
+        for own in _scopes:
+            if df.table_path in own:
+                own.remove(df.table_path)
+                delete(df.sparkSession, df.table_path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that cut() has written; frames that were made of them can't be read any more."""
-    while _written:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, so that results have to be written there; those written before stay."""
+    _scopes.append(own := [])
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            delete(spark, path)
 
 
 @atexit.register
 def _clear_at_exit() -> None:
     if (spark := SparkSession.getActiveSession()) is not None:
         with contextlib.suppress(Exception):  # the session may have ended
-            clear(spark)
+            for path in [p for own in _scopes for p in own]:
+                delete(spark, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

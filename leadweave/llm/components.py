@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         turn = F.lit(len(rounds))
         first = lambda c: F.struct(F.xxhash64(F.col(c), turn).alias("h"), F.col(c).alias("id"))
         both = e.select(F.col("a").alias("v"), first("b").alias("u")).union(e.select(F.col("b").alias("v"), first("a").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("u"))
+        low = both.groupBy("v").agg(F.min("u").alias("u"))  # combines before the shuffle
         parent = cut(low.select("v", F.least(F.col("u"), first("v")).getField("id").alias("p")))
         rounds.append(parent)
         at_a, at_b = parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))

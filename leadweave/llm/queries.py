@@ -22,7 +22,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     n = [count(kind) for kind in pii.BASE]
     added = (F.size("spans") - F.size("base")).cast("bigint").alias("n_added")
-    return found.select("doc_id", *n, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), added)
+    whole = F.size("spans").cast("bigint").alias("n_spans")
+    return found.select("doc_id", *n, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), added, whole)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=None)
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     none = F.col("text").isNull() | ((F.col("text") == "") & (F.col("_n_removed") > 0))
     n = F.when(none, F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
     return out.select("doc_id", F.col("_n_removed").alias("n_removed"), n.alias("n_lines_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -64,7 +65,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), special=True)
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,32 +56,27 @@ def near_duplicates(rows: list[tuple[int, str | None]], radius: int = 3) -> list
     return [(i, f"{fps[k]:016x}", least[groups.find(k)]) for k, (i, _) in enumerate(rows)]
 
 
-def edits(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def similar(texts: list[str], similarity: float = 0.8) -> list[tuple[int, int]]:
+    """All pairs of places whose texts have the edit similarity, by another engine's edit distance."""
+    import duckdb
+    import pandas as pd
 
+    t = pd.DataFrame({"k": range(len(texts)), "t": texts, "n": [len(x) for x in texts]})
+    near = f"a.k < b.k and least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9"
+    found = duckdb.sql(f"select a.k, b.k from t a join t b on {near} where levenshtein(a.t, b.t) <= (1 - {similarity}) * greatest(a.n, b.n) + 1e-9").fetchall()
+    return sorted(found) if len(t) else []
 
-def line_dedup(rows: list[tuple[int, str | None]], similarity: float = 0.8, radius: int = 3) -> list[tuple[int, str | None, int]]:
+
+def line_dedup(rows: list[tuple[int, str | None]], similarity: float = 0.8) -> list[tuple[int, str | None, int]]:
     """Texts without their surplus lines; rows must have distinct ids or equal texts."""
-    groups, first, fp = Groups(), {}, {}
+    groups, first = Groups(), {}
     for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42)))):
         for n, line in enumerate(t.split("\n")):
             words = tuple(PLAIN.findall(line.lower()))
             if words and words not in first:
                 first[words] = (len(first), i, t, n)
-                if len(words) >= 5:
-                    fp[words] = simhash([xxhash.xxh64_intdigest(w.encode(), 42) for w in words])
-    long = list(fp)
-    at = np.array([fp[w] for w in long], np.uint64)
-    for k, words in enumerate(long):
-        for j in np.flatnonzero(np.bitwise_count(at[k + 1 :] ^ at[k]) <= radius) + k + 1:
-            a, b = " ".join(words), " ".join(long[j])
-            if edits(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9:
-                groups.link(first[words][0], first[long[j]][0])
+    for a, b in similar([" ".join(w) for w in first], similarity):
+        groups.link(a, b)
     kept = {groups.find(first[w][0]) for w in first}
     by_number = {v[0]: v[1:] for v in first.values()}
     out = []
@@ -98,6 +93,57 @@ def line_dedup(rows: list[tuple[int, str | None]], similarity: float = 0.8, radi
     return out
 
 
+def quality(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of rows (doc_id, text, lang, source)."""
+    import math
+
+    measured = []
+    for i, text, lang, source in rows:
+        t = text or ""
+        words = WORD.findall(t)
+        joined = "".join(words)
+        windows: dict = {}
+        for k in range(len(words) - 7):
+            windows.setdefault(tuple(words[k : k + 8]), []).append(k)
+        twice = {k + j for places in windows.values() if len(places) > 1 for k in places for j in range(8)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        dup = sum(x in lines[:k] for k, x in enumerate(lines))
+        n, size = len(words), len(joined)
+        share = lambda p: len(re.findall(p, joined)) / size if size else 0.0  # noqa: B023, E731
+        ratios = {
+            "symbols": share(r"[#*$%&|<>]"), "upper": share("[A-Z]"), "punctuation": share(r"[!-/:-@\[-`{-~]"), "word_length": size / n if n else 0.0, "dup_lines": dup / len(lines) if lines else 0.0,
+            "repeats": len(twice) / n if n else 0.0, "stutter": sum(a == b for a, b in zip(words, words[1:])) / n if n else 0.0,
+        }
+        failed = n < 20 or 100 * len(twice) > 30 * n
+        measured.append((i, lang, source, n, size, round(share(r"[#*$%&|<>]") * size), dup, len(twice), failed, ratios))
+
+    def fence(values: list[float], rule: str) -> tuple[int, float | None]:
+        zeros = rule not in ("dup_lines", "repeats", "stutter")
+        found = sorted(1.02 ** math.ceil(math.log(v) / math.log(1.02)) if v > 0 else 0.0 for v in values if v > 0 or zeros)
+        if not found:
+            return 0, None
+        low, high = (found[math.ceil(q * len(found)) - 1] for q in (0.25, 0.75))
+        return len(found), high + 6 * (high - low) + (0.01 if zeros else 0)
+
+    def leaning(n: int, own: float | None, wide: float | None) -> float | None:
+        return wide if own is None else own if wide is None else (n * own + 50 * wide) / (n + 50)
+
+    def limit(rule: str, lang: str | None, source: str | None) -> float | None:
+        of = lambda test: fence([m[9][rule] for m in measured if not m[8] and test(m)], rule)
+        wide = leaning(*of(lambda m: m[1] == lang), of(lambda m: True)[1])
+        return leaning(*of(lambda m: (m[1], m[2]) == (lang, source)), wide)
+
+    limits: dict = {}
+    out = []
+    for i, lang, source, n, size, symbols, dup, twice, failed, ratios in measured:
+        for rule in ratios:
+            if (rule, lang, source) not in limits:
+                limits[rule, lang, source] = limit(rule, lang, source)
+        above = [r for r, v in ratios.items() if limits[r, lang, source] is not None and v > limits[r, lang, source]]
+        out.append((i, n, size, symbols, dup, twice, failed, not failed and not above))
+    return out
+
+
 def remove_repeats(rows: list[tuple[int, str | None]], window: int = 13) -> list[tuple[int, int, int, str]]:
     low: dict = {}
     for i, t in rows:

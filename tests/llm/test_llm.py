@@ -10,6 +10,7 @@ from pathlib import Path
 import brute
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -87,26 +88,70 @@ def test_components_of_a_path_and_a_star(spark):
     assert len(got) == 91 and len({got[k] for k in range(51)}) == 1 and len({got[k] for k in range(1000, 1040)}) == 1 and len(set(got.values())) == 2
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, odd):
     from leadweave.llm.lines import dedup
 
-    lines = variants(2, 80, words=24, changes=3) + ["Short line.", "short LINE", "***", "", "long " * 300 + "end", "long " * 299 + "end"]
+    lines = variants(2, 60, words=24, changes=1) + variants(3, 30, words=12, changes=1) + ["Short line.", "short LINE", "short lime", "la ja", "***", "", "long " * 300 + "end", "long " * 299 + "end", "Contact us todax", "contact us today"]
     random.Random(5).shuffle(lines)
     rows = [(k, "\n".join(lines[k * 4 : k * 4 + 4])) for k in range(len(lines) // 4 + 1)] + [(900, None), (901, ""), (902, "Short line.")]
     got = sorted((r.doc_id, r.text, r._n_removed) for r in dedup(table(spark, rows)).collect())
     assert got == sorted(brute.line_dedup(rows))
+    clash = dedup(odd.withColumn("_n_removed", F.lit("own")))
+    assert clash.columns == [*odd.columns, "_n_removed", "_n_removed_"] and clash.where("_n_removed = 'own'").count() == 12
+    assert dedup(odd.where("false")).count() == 0
+    by_text = {(r.doc_id, r.text) for r in dedup(odd).collect()}
+    assert {(0, None), (1, ""), (2, " \n\t "), (5, "a b c d e f g"), (6, "")} <= by_text
 
 
-def test_line_simhash_counts_long_lines(spark):
-    from leadweave.llm.lines import MAX_WORDS, occurrences
+def test_line_dedup_finds_similar_lines_of_any_length(spark):
+    """Recall against all pairs, by edit similarity alone, on the documents' own lines."""
+    from leadweave.llm.common import cut
+    from leadweave.llm.lines import groups, occurrences
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = cut(occurrences(docs))
+    _, root = groups(docs, found, "doc_id", "text")
+    norms = sorted({" ".join(brute.PLAIN.findall(x.lower())) for r in docs.collect() for x in (r.text or "").split("\n")} - {""})
+    norms = [x for x in norms if len(x) <= 150]
+    pairs = brute.similar(norms)
+    h = {r.n: r.h for r in spark.createDataFrame([(x,) for x in norms], "n string").select("n", F.xxhash64("n").alias("h")).collect()}
+    of = {r.h: r.r for r in root.select(F.col("node.h1").alias("h"), F.col("root.h1").alias("r")).collect()}
+    hit = sum(of.get(h[norms[a]], a) == of.get(h[norms[b]], -1 - b) for a, b in pairs)
+    assert len(pairs) > 20 and hit / len(pairs) >= 0.9
 
-    rng = random.Random(6)
-    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(n)) for n in (4, 5, 127, 128, 1000, MAX_WORDS, MAX_WORDS + 1)]
-    import xxhash
 
-    expected = [None if not 5 <= len(t.split()) <= MAX_WORDS else brute.signed(brute.simhash([xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split()])) for t in texts]
+def test_line_fingerprint_is_the_majority_of_the_sample(spark):
+    from leadweave.llm.lines import BLOCKS, SAMPLE, occurrences
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(n)) for n in (5, 9, 12, 1000, 40_000)]
     got = occurrences(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
-    assert [r.fp for r in got] == expected
+    mask = (1 << 64) - 1
+    for t, r in zip(texts, got, strict=True):
+        w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in t.split()]
+        width = 3 if len(w) >= 10 else 2
+        runs = {brute.signed((w[k] ^ (w[k + 1] << 1 & mask) ^ ((w[k + 2] << 2 & mask) if width == 3 else 0)) & mask) for k in range(len(w) - width + 1)}
+        sample = sorted(runs)[:SAMPLE]
+        assert r.fp == brute.signed(brute.simhash([x & mask for x in sample]))
+        assert [r[f"k{k}"] for k in range(BLOCKS)] == [sample[k] if k < len(sample) else None for k in range(BLOCKS)]
+
+
+def test_line_dedup_of_crowded_buckets(spark, monkeypatch):
+    """Lines that share a passage and little else meet by pairs of blocks, and frequent blocks are dealt out apart."""
+    from leadweave.llm import lines as module
+
+    monkeypatch.setattr(module, "CROWD", 4)
+    monkeypatch.setattr(module, "HOT", 1)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    passage, lines = [word() for _ in range(8)], []
+    for _ in range(30):
+        own = [*passage, *(word() for _ in range(16))]
+        lines += [" ".join(own), " ".join([*own[:-1], word()])]
+    rng.shuffle(lines)
+    rows = list(enumerate(lines))
+    got = sorted((r.doc_id, r.text, r._n_removed) for r in module.dedup(table(spark, rows)).collect())
+    assert got == sorted(brute.line_dedup(rows)) and sum(r[2] for r in got) == 30
 
 
 def test_substring_dedup(spark, odd):
@@ -177,13 +222,40 @@ def test_quality(spark, odd):
     assert quality.judge(odd).count() == 12 and quality.judge(odd.where("false")).count() == 0
 
 
+def test_quality_query_is_brute_force(spark):
+    from leadweave.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in QUERIES["op6_quality_rules"](spark, DATA).collect()]
+    expected = brute.quality([(r.doc_id, r.text, r.lang, r.source) for r in docs])
+    assert sorted(got) == sorted(expected) and len({r[6:] for r in got}) == 3
+
+
 def test_quality_cutoffs_come_from_merged_sketches(spark):
     from leadweave.llm import quality
 
-    rows = [("en", "big", r.name, b, 10) for r in quality.RULES for b in range(10, 20)] + [("en", "small", r.name, 90, 1) for r in quality.RULES]
+    rows = [("en", "big", r.name, b, 10) for r in quality.RULES for b in range(10, 20)] + [("en", "small", r.name, 90, 1) for r in quality.RULES] + [("en", "zeros", r.name, quality.ZERO, 9) for r in quality.RULES]
     limits = {r.source: r.limits for r in quality.cutoffs(spark.createDataFrame(rows, "lang string, source string, rule string, bucket int, n bigint")).collect()}
     high, low = 1.02**17, 1.02**12
-    assert limits["big"]["symbols"] == pytest.approx(high + 3 * (high - low)) and limits["small"]["symbols"] == pytest.approx(limits["big"]["symbols"], rel=0.05)
+    big = high + quality.FENCE * (high - low)
+    assert limits["big"]["repeats"] == pytest.approx(big, rel=0.02)
+    wide = limits["zeros"]["repeats"]  # no row counts: what its language has
+    assert limits["small"]["repeats"] == pytest.approx((1.02**90 + quality.PRIOR * wide) / (1 + quality.PRIOR)) and limits["small"]["repeats"] != limits["big"]["repeats"]
+    assert quality.SLACK < limits["zeros"]["symbols"] < limits["big"]["symbols"]
+
+
+def test_repeated_words_are_held_against_the_words():
+    from leadweave.llm import quality
+
+    text = "a b c d e f g h x a b c d e f g h".split()
+    words = [w.encode() for w in text]
+    assert quality.repeated_words(words) == 16
+    same = quality.rolling
+    try:
+        quality.rolling = lambda own, width: np.zeros(len(own) - width + 1, np.uint64)  # all windows share a hash
+        assert quality.repeated_words(words) == 16 and quality.repeated_words([str(k).encode() for k in range(30)]) == 0
+    finally:
+        quality.rolling = same
 
 
 def test_bpe_is_exact():
@@ -233,7 +305,6 @@ def test_token_files(spark, odd, tmp_path):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     texts = [*ODD, "<|endoftext|> İstanbul ΣΑΣ don't", "naïve, CAFÉ! x² ½", None]
     rows = [(k * 7 % 13, t) for k, t in enumerate(texts)]
     got = round_trip(table(spark, rows).repartition(3), path, folder=str(tmp_path)).orderBy("doc_id").collect()
@@ -254,7 +325,7 @@ def test_pii_base_spans(spark, odd):
 
     texts = [
         "a@b.co c_d@e.f x@y", "jo@a.b.c_d@e.f", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255", "4539 1488 0343 6467 and 4539-1488-0343-6468", "+1 (614) 555-8001, +12 +44 20 7946 0958 +1234567890123456",
-        "é😀 mail: ann@x.org", "9" * 5000 + " a" * 3, "Call (614) 555-8001 or Dr. Anna Smith", "jo (at) ex (dot) com", "token = \"9e7c0011\"", *[t or "" for t in ODD],
+        "é😀 mail: ann@x.org", "9" * 5000 + " a" * 3, "Call (614) 555-8001 or Dr. Anna Smith", "jo (at) ex (dot) com", "token = \"9e7c0011\"", "token = \"cb1a9fee807a05366fcb8b6c95c7c565ede51a72\"", "pay 4539148803436467 4539148803436467", "a@b.co 1.2.3.4 " * 400, *[t or "" for t in ODD],
     ]
     patterns = {k: re.compile(v) for k, v in pii.BASE.items()}
 
@@ -270,6 +341,8 @@ def test_pii_base_spans(spark, odd):
         spans = sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(patterns.items()) for m in p.finditer(texts[r.doc_id]) if valid(kind, m.group()))
         assert r.b == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in spans)
         assert set(filter(None, r.b.split(","))) <= set(r.s.split(","))
+    added = {r.doc_id: set(r.s.split(",")) - set(r.b.split(",")) for r in found.collect()}
+    assert added[10] == {"secret:9:49"} and added[11] == {"card_run:4:20", "card_run:21:37"} and not added[9] and not added[12] and not added[5]
     assert pii.find(odd).count() == 12 and pii.find(odd.where("false")).count() == 0
     names = [n for line in pii.find(odd)._jdf.queryExecution().executedPlan().toString().split("\n") for n in ("Python", "Arrow", "Pandas") if n in line]
     assert not names
@@ -351,17 +424,6 @@ def test_pipeline(spark):
     assert len({c for _, _, c in near}) == len(near)
 
 
-def test_line_dedup_query_links_by_similarity_alone(spark, tmp_path):
-    from leadweave.llm.queries import QUERIES
-
-    lines = variants(2, 80, words=24, changes=3) + variants(3, 40, words=8, changes=1)
-    random.Random(5).shuffle(lines)
-    rows = [(k, "\n".join(lines[k * 4 : k * 4 + 4])) for k in range(30)]
-    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r.doc_id, r.n_removed) for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect())
-    assert got == sorted((i, n) for i, _, n in brute.line_dedup(rows, radius=64))
-
-
 def test_decontamination_of_repeated_and_nameless_items(spark):
     from leadweave.llm.decontamination import clean, contaminated
 
