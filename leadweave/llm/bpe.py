@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, raw_texts
+from .common import fresh, map_batches, raw_texts
 
 #: Entries of a worker's memo tables.
 PIECES, PAIRS = 400_000, 500_000
@@ -175,8 +175,11 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 
 def encode_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with all columns, where text is what decoding its ids gives, and ids and n_tokens are added (null texts stay null, with no ids)."""
-    names = docs.columns
+    """docs with all columns, where text is what decoding its ids gives, and ids and n_tokens are added (null texts stay null, with no ids).
+
+    Where docs has columns of these names, the added ones get underscores behind theirs. Repeated rows stay repeated; an empty table gives an empty one.
+    """
+    names, added = docs.columns, fresh(docs, "ids", "n_tokens")
     at = names.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -189,7 +192,7 @@ def encode_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
     rows = docs.select(*[(F.col(c).cast("string") if k == at else F.col(c)).alias(f"c{k}") for k, c in enumerate(names)])
     schema = ", ".join(f"c{k} {kind}" for k, (_, kind) in enumerate(rows.dtypes))
     out = map_batches(rows, run, f"{schema}, ids array<int>, n bigint")
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "ids", F.col("n").alias("n_tokens"))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.col("ids").alias(added[0]), F.col("n").alias(added[1]))
 
 
 class Decimals:

@@ -53,7 +53,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_cols: list[str] | Non
 
     Containment is the share of an item's distinct shingles that the document has. Null and empty texts and items
     contain nothing and are in nothing; items of one id are told apart by their shingles and each gets a row,
-    equal ones one row; a null item_id is an id like others; repeated rows of docs repeat their rows; other columns are ignored.
+    equal ones one row; a null item_id is an id like others; repeated rows of docs repeat their rows; an empty table on either side gives an
+    empty one; other columns are ignored, and id columns that have a result's name make that get underscores behind it.
     """
     ids = id_cols or ["doc_id"]
     listed = cut(items_of(benchmark, item_col, item_text, width))
@@ -81,11 +82,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_cols: list[str] | Non
     n_found = F.size(F.array_intersect(F.col("shingles"), F.element_at("have", F.col("width"))))
     exact = exact.select(*[f"_id{k}" for k in range(len(ids))], "k", n_found.cast("bigint").alias("n_found"), F.col("q").cast("bigint").alias("q"))
     held = exact.where(F.col("n_found") >= F.col("q") * F.lit(threshold) - 1e-9).join(small_or_shuffled(names, BROADCAST_ROWS), "k")
-    return held.select(*[F.col(f"_id{k}").alias(c) for k, c in enumerate(ids)], "item_id", "n_found", "q", (F.col("n_found") / F.col("q")).alias("containment"))
+    item, n, q, share = fresh(docs.select(*ids), "item_id", "n_found", "q", "containment")
+    return held.select(*[F.col(f"_id{k}").alias(c) for k, c in enumerate(ids)], F.col("item_id").alias(item), F.col("n_found").alias(n), F.col("q").alias(q), (F.col("n_found") / F.col("q")).alias(share))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs that contain no item, with all their columns."""
+    """The rows of docs that contain no item, with all their columns: null and empty texts stay, repeated rows stay or go together."""
     text = F.col(text_col).cast("string")
     t = fresh(docs, "_t1", "_t2")
     keyed = docs.select("*", F.xxhash64(text).alias(t[0]), F.xxhash64(text, F.lit(11)).alias(t[1]))
@@ -99,12 +101,15 @@ WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents
 ), i AS (
   SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM benchmark
-), ds AS (
-  SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)
+), widths AS (SELECT DISTINCT least(len(w), 5) AS width FROM i WHERE len(w) > 0),
+ds AS (
+  SELECT DISTINCT doc_id, width, array_to_string(w[k : k + width - 1], ' ') AS s
+  FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS k FROM w CROSS JOIN widths WHERE len(w) >= width)
 ), s AS (
-  SELECT DISTINCT item_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i WHERE len(w) >= 5)
+  SELECT DISTINCT item_id, width, array_to_string(w[k : k + width - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(len(w), 5) AS width, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS k FROM i WHERE len(w) > 0)
 ), q AS (SELECT item_id, count(*) AS q FROM s GROUP BY item_id)
 SELECT ds.doc_id, s.item_id, count(*) AS n_found, any_value(q.q) AS q, count(*) / any_value(q.q) AS containment
-FROM ds JOIN s USING (s) JOIN q USING (item_id)
+FROM ds JOIN s USING (width, s) JOIN q USING (item_id)
 GROUP BY ds.doc_id, s.item_id HAVING count(*) >= 0.8 * any_value(q.q) - 1e-9
 """

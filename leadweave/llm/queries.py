@@ -84,4 +84,4 @@ QUERIES: dict[str, Query] = {
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontamination.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontamination.ORACLE_SQL, "op10_substring_dedup": repeats.ORACLE_SQL}

@@ -26,6 +26,20 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, cut, mix, raw_texts, rolling, slices, small_or_shuffled
 
 WINDOW = 13
+#: op10's rows by brute force over all windows, for DuckDB.
+ORACLE_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, k, array_to_string(w[k : k + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM w WHERE len(w) >= 13)),
+low AS (SELECT s, min(doc_id) AS low FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS k FROM win JOIN low USING (s) WHERE low.low < win.doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w),
+kept AS (
+  SELECT doc_id, count(gone.k) AS n_removed, string_agg(CASE WHEN gone.k IS NULL THEN word END, ' ' ORDER BY words.k) AS text
+  FROM words LEFT JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(kept.n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
 #: Words that a reader packs at once, and postings that a bucket should hold, about.
 PACK, BUCKET = 1_500_000, 2_500_000
 _LAST = np.iinfo(np.int64).max
@@ -117,13 +131,13 @@ class Packer:
             own = order[marked]
             yield _pack_marks(doc[own], th[own], pos[own], self.buckets)
         order = order[ds == low[group]]
-        edges = np.array([-(-(b << 64) // self.buckets) for b in range(1, self.buckets)], np.uint64)
-        cuts = [0, *np.searchsorted(h[order], edges).tolist(), len(order)]
+        # Buckets are ranges of the hash's upper 32 bits; only those that have postings are looked at, however many there are.
+        of = ((h[order] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[np.full(min(1, len(of)), True), of[1:] != of[:-1]])
         rows: list[tuple[int, bytes]] = []
-        for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a < b:
-                own = np.sort(order[a:b])
-                rows.append((bucket, self._payload(doc[own], th[own], pos[own], h[own], block[own])))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+            own = np.sort(order[a:b])
+            rows.append((int(of[a]), self._payload(doc[own], th[own], pos[own], h[own], block[own])))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "payload"])
 
     def _payload(self, doc: np.ndarray, th: np.ndarray, pos: np.ndarray, h: np.ndarray, block: np.ndarray) -> bytes:

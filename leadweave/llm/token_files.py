@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from math import ceil
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -27,6 +28,8 @@ from .common import cut, raw_texts, shared_dir, slices
 
 #: Words whose ids a worker keeps; the characters it gives the library at once.
 WORDS, BLOCK = 500_000, 50_000
+#: Bytes of text that a part holds, about.
+PART = 256 << 20
 
 
 class WordEncoder:
@@ -129,7 +132,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, id_col: st
     """Write the token files of docs to ``folder`` (shared by all executors); (part, n_docs, n_null, n_tokens) of each part.
 
     Rows are dealt out by ranges of (id, hash of the text) and sorted, before they are encoded, so that texts are
-    shuffled once. Null ids come first and are counted in n_null; null texts are empty and have the end id only; repeated
+    shuffled once, into as many parts as their bytes ask for. Ids are numbers of 64 bits (others fail as casts do). Null ids come first and are counted in n_null; null texts are empty and have the end id only; repeated
     rows stay. A task writes under a name of its own and renames at the end, so that a repeated task replaces equal files.
     """
     at = local_folder(folder)
@@ -152,8 +155,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, id_col: st
             os.replace(own, final)
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, n, null, total)], names=["part", "n_docs", "n_null", "n_tokens"])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(size / PART))
     dealt = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return cut(dealt.mapInArrow(run, "part bigint, n_docs bigint, n_null bigint, n_tokens bigint"))
 

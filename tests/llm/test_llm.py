@@ -453,3 +453,89 @@ def test_token_files_query_matches_special_tokens(spark, tmp_path):
     got = QUERIES["op9_token_files"](spark, str(tmp_path)).orderBy("doc_id").collect()
     ids = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in texts]
     assert 49407 in ids[0] and [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(x.tobytes())) for x in ids]
+
+
+def test_sql_of_the_corpus_queries(spark):
+    import duckdb
+
+    from leadweave.llm.queries import ORACLE_SQL, QUERIES
+
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        own = duck.sql(sql)
+        got = QUERIES[name](spark, DATA).select(*own.columns).collect()
+        assert sorted(map(tuple, got)) == sorted(own.fetchall()) and got
+
+
+def test_clashing_columns(spark, odd):
+    import public_tokenizers
+
+    from leadweave.llm import bpe, decontamination
+
+    args = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    own = odd.withColumns({"ids": F.lit("x"), "N_TOKENS": F.lit(1)})
+    assert bpe.encode_rows(own, *args).columns == [*own.columns, "ids_", "n_tokens_"]
+    named = odd.withColumnRenamed("doc_id", "item_id")
+    bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id bigint, text string")
+    found = decontamination.contaminated(named, bench, ["item_id"])
+    assert found.columns == ["item_id", "item_id_", "n_found", "q", "containment"] and {r.item_id for r in found.collect()} == {5, 6}
+
+
+def test_tables_of_other_scopes_stay(spark):
+    from leadweave.llm.common import cut, drop, scope
+
+    outer = cut(spark.range(3).toDF("a"))
+    with scope(spark):
+        inner = cut(spark.range(4).toDF("a"))
+        assert inner.count() == 4
+    assert outer.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        inner.agg(F.sum("a")).collect()
+    drop(outer)
+    drop(outer)
+
+
+def test_pipeline_is_the_chain_of_plain_versions(spark, tmp_path):
+    import base64
+
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 7)))
+    item = " ".join(word() for _ in range(12))
+    shared = " ".join(word() for _ in range(14))
+    rows = []
+    for k in range(60):
+        lines = [" ".join(word() for _ in range(12)) for _ in range(4)]
+        if k % 6 == 0:
+            lines[1] = shared if k % 12 else shared + " end"
+        if k % 10 == 3:
+            lines[2] += " " + item
+        rows.append([k, "\n".join(lines), "en" if k % 2 else "de", f"s{k % 3}"])
+    rows[7][1] = " ".join(w + "###" for w in rows[7][1].split())
+    rows += [[60, rows[5][1].replace("\n", "\n\n"), "en", "s0"], [61, None, "en", None], [62, "", None, "s0"], [63, "too few words", "en", "s0"], [64, "x " * 3000, "en", "s1"]]
+    docs = spark.createDataFrame([(i, t, a, b, len(t) if t else None, "own") for i, t, a, b in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, _k string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {r[0] for r in brute.quality(rows) if r[7]}
+    step = [(i, t) for i, t, _, _ in rows if i in kept]
+    step = [(i, t) for i, t, _ in brute.line_dedup(step)]
+    near = {i for i, _, c in brute.near_duplicates(step) if i == c}
+    step = [(i, t) for i, t in step if i in near]
+    shingles = lambda t: {tuple(w[k : k + 5]) for w in [brute.PLAIN.findall(t.lower())] for k in range(len(w) - 4)}
+    step = [(i, t) for i, t in step if len(shingles(t) & shingles(item)) < 0.8 * len(shingles(item)) - 1e-9]
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*docs.columns, "ids", "n_tokens"]
+    assert sorted((r.doc_id, r.text, r.n_chars, r.ids) for r in got.collect()) == sorted((i, t, len(t), library.encode_ordinary(t)) for i, t in step)
+    assert 7 not in kept and {3, 13}.isdisjoint(i for i, _ in step) and len(step) > 30
+    empty = tmp_path / "empty"
+    docs.where("false").write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
