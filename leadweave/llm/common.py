@@ -141,11 +141,22 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
+#: Rows of an Arrow batch, where the session has the default of 10,000.
+ARROW_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand Arrow batches of at most ARROW_ROWS rows to Python workers, unless the session has a setting of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with one output batch for each slice of an input batch of at most 8 MB of text.
 
     Slices bound a worker's memory whatever the lengths of texts; only single rows larger than that exceed it.
     """
+    small_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
