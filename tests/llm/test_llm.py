@@ -137,10 +137,9 @@ def test_line_fingerprint_is_the_majority_of_the_sample(spark):
 
 
 def test_line_dedup_of_crowded_buckets(spark, monkeypatch):
-    """Lines that share a passage and little else meet by pairs of blocks, and frequent blocks are dealt out apart."""
+    """Lines that share a passage and little else meet theirs by pairs of blocks, and frequent blocks are dealt out apart."""
     from leadweave.llm import lines as module
 
-    monkeypatch.setattr(module, "CROWD", 4)
     monkeypatch.setattr(module, "HOT", 1)
     rng = random.Random(14)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
