@@ -100,5 +100,5 @@ def validate(leads: DataFrame, events: DataFrame, fct: DataFrame, write=None) ->
     if write:
         write(report)
     if failed:
-        raise DataQualityError(f"Blocking data-quality checks failed: {', '.join(failed)}")
+        raise DataQualityError(f"{len(failed)} blocking contracts do not hold: {failed}")
     return report

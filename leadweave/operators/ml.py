@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import BOOLEAN, CATEGORICAL, FEATURES, NUMERIC, TARGET
-from ..functions import rint
 from .stats import best_threshold, calibration, chrono_split, metrics, naive
 
 LEAST_ROWS, REPEATS = 500, 8
 #: Boosting: rounds, rate and depth; trees of this depth have up to 16 leaves.
-ROUNDS, RATE, DEPTH = 60, 0.06, 4
+ROUNDS, RATE, DEPTH = 180, 0.06, 4
 CLASSES = {"logistic_regression": LogisticRegressionModel, "gradient_boosting": GBTClassificationModel}
 
 
@@ -179,4 +178,4 @@ def train(training: DataFrame, seed: int, as_of_date: str, rounds: int = ROUNDS,
     return bundle, document, calibration(tested), importance(*fitted[best], part["test"], seed, repeats)
 
 
-__all__ = ["Bundle", "Preparation", "fit", "importance", "load_bundle", "rint", "train"]
+__all__ = ["Bundle", "Preparation", "fit", "importance", "load_bundle", "train"]

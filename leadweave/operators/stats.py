@@ -9,29 +9,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import drift_status, rnd
+from ..functions import drift_status, rint, rnd
 
 PSI_FLOOR = 1e-6
 
 
-def ranked(df: DataFrame, ts: str = "created_at", tie: str = "lead_id") -> DataFrame:
-    """df with rank (0-based, by ts then tie) and total: counts by minute are summed up in time order, rows are ranked within their minute."""
-    rows = df.withColumn("_minute", F.date_trunc("minute", F.col(ts)))
+def ranked(df: DataFrame, ts: str = "created_at", tie: str = "lead_id", rank: str = "rank", total: str = "total") -> DataFrame:
+    """df with columns named by rank (0-based, by ts then tie) and total, which replace columns of such names: counts by minute are summed up in time order, rows are ranked within their minute."""
+    rows = df.drop(rank, total).withColumn("_minute", F.date_trunc("minute", F.col(ts)))
     counts = rows.groupBy(F.col("_minute").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_at", (F.sum("_n").over(Window.orderBy("_at")) - F.col("_n")).alias("_before"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"))
+    whole = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias(total))
     within = F.row_number().over(Window.partitionBy("_minute").orderBy(ts, tie))
-    joined = rows.join(before, F.col("_minute").eqNullSafe(F.col("_at"))).withColumn("rank", (F.col("_before") + within - 1).cast("bigint"))
-    return joined.drop("_minute", "_at", "_before").crossJoin(F.broadcast(total))
+    joined = rows.join(before, F.col("_minute").eqNullSafe(F.col("_at"))).withColumn(rank, (F.col("_before") + within - 1).cast("bigint"))
+    return joined.drop("_minute", "_at", "_before").crossJoin(F.broadcast(whole))
 
 
 def chrono_split(df: DataFrame, cuts: tuple[tuple[str, float], ...] = (("train", 0.70), ("validation", 0.85)), last: str = "test") -> DataFrame:
     """df with ``split``: each name up to the floor of its share of rows in time order, the last for the rest."""
-    out, part = ranked(df), None
+    out, part = ranked(df, rank="_rank", total="_total"), None
     for name, share in cuts:
-        until = F.floor(F.col("total") * F.lit(share))
-        part = F.when(F.col("rank") < until, F.lit(name)) if part is None else part.when(F.col("rank") < until, F.lit(name))
-    return out.withColumn("split", part.otherwise(F.lit(last))).drop("rank", "total")
+        until = F.floor(F.col("_total") * F.lit(share))
+        part = F.when(F.col("_rank") < until, F.lit(name)) if part is None else part.when(F.col("_rank") < until, F.lit(name))
+    return out.withColumn("split", part.otherwise(F.lit(last))).drop("_rank", "_total")
 
 
 def reference_split(df: DataFrame, share: float = 0.70) -> DataFrame:
@@ -142,7 +142,7 @@ def best_threshold(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 
 def calibration(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     """(decile, mean_predicted, observed_rate, leads) by qcut decile."""
-    g = qcut(scored, p).groupBy("decile").agg(rnd(F.avg(p), 6).alias("mean_predicted"), rnd(F.avg(y), 6).alias("observed_rate"), F.count(F.lit(1)).alias("leads"))
+    g = qcut(scored, p).groupBy("decile").agg(rint(F.avg(p), 6).alias("mean_predicted"), rint(F.avg(y), 6).alias("observed_rate"), F.count(F.lit(1)).alias("leads"))
     numbered = F.dense_rank().over(Window.orderBy("decile")).cast("int")  # at most ten rows
     return g.withColumn("decile", numbered)
 
@@ -150,7 +150,7 @@ def calibration(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 def slice_calibration(scored: DataFrame, by: str = "channel", p: str = "p", y: str = "y") -> DataFrame:
     """(by, leads, observed_booking_rate, average_prediction, calibration_gap), the gap from unrounded means."""
     g = scored.groupBy(by).agg(F.count(F.lit(1)).alias("leads"), F.avg(y).alias("o"), F.avg(p).alias("a"))
-    return g.select(by, "leads", rnd(F.col("o"), 6).alias("observed_booking_rate"), rnd(F.col("a"), 6).alias("average_prediction"), rnd(F.col("a") - F.col("o"), 6).alias("calibration_gap"))
+    return g.select(by, "leads", rint(F.col("o"), 6).alias("observed_booking_rate"), rint(F.col("a"), 6).alias("average_prediction"), rint(F.col("a") - F.col("o"), 6).alias("calibration_gap"))
 
 
 def naive(scored: DataFrame, train: DataFrame, y: str = "y") -> DataFrame:

@@ -41,7 +41,7 @@ def monitoring(w: Warehouse, bundle: ml.Bundle) -> dict[str, Any]:
     return {
         "generated_at": datetime.now(UTC).isoformat(), "reference_period": period(True), "comparison_period": period(False), "drift_thresholds": {"watch": 0.10, "review": 0.20},
         "maximum_psi": max(r["psi"] for r in rows), "features_requiring_review": sum(r["status"] == "review" for r in rows), "drift": rows, "performance_by_channel": records(slices.orderBy("channel")),
-        "caveat": "PSI shows that distributions moved; it is no evidence of model failure or of causes.",
+        "caveat": "PSI shows that distributions moved; it is neither evidence that the model fails nor causal evidence.",
     }
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fx
-from ..config import Outcome
-from ..operators import contracts, facts, marts, scoring, stats
+from ..config import CATEGORICAL, NUMERIC, Outcome
+from ..operators import contracts, facts, marts, ml, scoring, stats
 from ..sources import events_of_lines, leads_of_orders, load
 from .build import top_candidates
 
@@ -120,25 +120,28 @@ add("mart_recent_candidates", candidates_of, f"SELECT {CANDIDATES} FROM fct WHER
 add("dq_summary", on_fct(marts.quality_summary), """SELECT COUNT(*) AS leads, CAST(SUM(booked) AS BIGINT) AS booked, ROUND(AVG(booked), 6) AS observed_booking_rate,
   CAST(SUM(CASE WHEN is_matured THEN 1 ELSE 0 END) AS BIGINT) AS matured_leads, MIN(created_at) AS first_created_at, MAX(created_at) AS last_created_at FROM fct""")
 SUMMARY = f"SELECT CAST(COUNT(*) AS INTEGER) AS matured_leads, CAST(SUM(booked) AS INTEGER) AS booked_leads, ROUND(AVG(booked), 6) AS booking_rate, {MEDIAN} FROM fct WHERE is_matured"
-add("api_metrics", on_fct(marts.matured_summary), SUMMARY)
-add("dash_summary", lambda s, d: marts.matured_summary(f := fct_of(s, d)).crossJoin(marts.recent_candidates(f, CONFIG).agg(F.count(F.lit(1)).cast("int").alias("open_candidates"))),
-    f"SELECT *, (SELECT CAST(COUNT(*) AS INTEGER) FROM fct WHERE {OPEN}) AS open_candidates FROM ({SUMMARY})")
-add("dash_monthly", on_fct(lambda f: marts.monthly_funnel(f).select("month", "leads", "booking_rate").orderBy("month")), "SELECT STRFTIME(DATE_TRUNC('month', created_at), '%Y-%m') AS month, CAST(COUNT(*) AS INTEGER) AS leads, ROUND(AVG(booked), 6) AS booking_rate FROM fct WHERE is_matured GROUP BY 1 ORDER BY 1")
-add("dash_channels", on_fct(lambda f: marts.channel_performance(f).select("channel", "leads", "booking_rate").orderBy(F.col("booking_rate").desc(), F.col("leads").desc(), "channel")), "SELECT channel, CAST(COUNT(*) AS INTEGER) AS leads, ROUND(AVG(booked), 6) AS booking_rate FROM fct WHERE is_matured GROUP BY 1 ORDER BY 3 DESC, 2 DESC, 1")
-add("dash_campaigns", on_fct(lambda f: marts.campaign_performance(f).orderBy(F.col("booking_rate").desc(), F.col("leads").desc(), "campaign", "channel").limit(10).select("campaign", "channel", "leads", "booking_rate")),
-    "SELECT campaign, channel, CAST(COUNT(*) AS INTEGER) AS leads, ROUND(AVG(booked), 6) AS booking_rate FROM fct WHERE is_matured GROUP BY 1, 2 HAVING COUNT(*) >= 50 ORDER BY booking_rate DESC, leads DESC, campaign, channel LIMIT 10")
+sql_of = lambda name: ORACLE[name].removeprefix(PREFIX)
+TOTALS = ("matured_leads", "booked_leads", "booking_rate", "median_response_minutes")
+add("api_metrics", on_fct(lambda f: marts.channel_performance(f).crossJoin(marts.matured_summary(f).select(*[F.col(c).alias(f"total_{c}") for c in TOTALS]))),
+    f"SELECT c.*, {', '.join(f's.{c} AS total_{c}' for c in TOTALS)} FROM ({sql_of('mart_channel_performance')}) c CROSS JOIN ({SUMMARY}) s")
+add("dash_monthly", on_fct(lambda f: marts.monthly_funnel(f).orderBy("month")), f"SELECT * FROM ({sql_of('mart_monthly_funnel')}) ORDER BY month")
+add("dash_channels", on_fct(lambda f: marts.channel_performance(f).orderBy(F.col("booking_rate").desc(), F.col("leads").desc(), "channel")), f"SELECT * FROM ({sql_of('mart_channel_performance')}) ORDER BY booking_rate DESC, leads DESC, channel")
+add("dash_campaigns", on_fct(lambda f: marts.campaign_performance(f).orderBy(F.col("booking_rate").desc(), F.col("leads").desc(), "campaign", "channel").limit(10)),
+    f"SELECT * FROM ({sql_of('mart_campaign_performance')}) ORDER BY booking_rate DESC, leads DESC, campaign, channel LIMIT 10")
 
 # Contracts.
+_REPEATED = "SELECT CAST(COALESCE(SUM(n - CASE WHEN {k} IS NULL THEN 0 ELSE 1 END), 0) AS BIGINT) AS violations FROM (SELECT {k}, COUNT(*) AS n FROM {t} GROUP BY {k})"
+_BAD = "SELECT CAST(COALESCE(SUM(CASE WHEN {p} THEN 1 ELSE 0 END), 0) AS BIGINT) AS violations FROM {t}"
 CONTRACT_SQL = {
-    "dq_unique_leads": "SELECT COUNT(*) - COUNT(DISTINCT lead_id) AS violations FROM stg_leads",
-    "dq_unique_events": "SELECT COUNT(*) - COUNT(DISTINCT event_id) AS violations FROM stg_events",
-    "dq_orphan_events": "SELECT COUNT(*) AS violations FROM stg_events e LEFT JOIN stg_leads l USING (lead_id) WHERE l.lead_id IS NULL",
-    "dq_required_fields": "SELECT COUNT(*) AS violations FROM stg_leads WHERE lead_id IS NULL OR created_at IS NULL OR channel IS NULL OR campaign IS NULL OR service_type IS NULL OR region IS NULL",
-    "dq_response_range": "SELECT COUNT(*) AS violations FROM stg_leads WHERE response_minutes < 0 OR response_minutes > 1440",
-    "dq_followup_range": "SELECT COUNT(*) AS violations FROM stg_leads WHERE follow_up_count < 0 OR follow_up_count > 6",
-    "dq_consent_followup": "SELECT COUNT(*) AS violations FROM stg_leads WHERE NOT consent_to_contact AND follow_up_count <> 0",
-    "dq_event_before_lead": "SELECT COUNT(*) AS violations FROM stg_events e JOIN stg_leads l USING (lead_id) WHERE e.event_at < l.created_at",
-    "dq_funnel_order": "SELECT COUNT(*) AS violations FROM fct WHERE attended > booked OR won > attended",
+    "dq_unique_leads": _REPEATED.format(k="lead_id", t="stg_leads"),
+    "dq_unique_events": _REPEATED.format(k="event_id", t="stg_events"),
+    "dq_orphan_events": _BAD.format(p="NOT EXISTS (SELECT 1 FROM stg_leads WHERE stg_leads.lead_id = stg_events.lead_id)", t="stg_events"),
+    "dq_required_fields": _BAD.format(p=" OR ".join(f"{c} IS NULL" for c in contracts.REQUIRED), t="stg_leads"),
+    "dq_response_range": _BAD.format(p="NOT response_minutes BETWEEN 0 AND 1440", t="stg_leads"),
+    "dq_followup_range": _BAD.format(p="NOT follow_up_count BETWEEN 0 AND 6", t="stg_leads"),
+    "dq_consent_followup": _BAD.format(p="follow_up_count <> 0 AND consent_to_contact IS FALSE", t="stg_leads"),
+    "dq_event_before_lead": _BAD.format(p="event_at < (SELECT MAX(created_at) FROM stg_leads WHERE stg_leads.lead_id = stg_events.lead_id)", t="stg_events"),
+    "dq_funnel_order": _BAD.format(p="GREATEST(attended - booked, won - attended) > 0", t="fct"),
 }
 
 
@@ -216,7 +219,7 @@ add("chrono_split", lambda s, d: stats.chrono_split(training_of(s, d)).select("l
 INNER = "SELECT list_sort(list_distinct(quantile_cont({c}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM {t}"
 QCUT = f"e AS ({INNER.format(c='p', t='test')}), q AS (SELECT test.*, CAST((SELECT COUNT(*) FROM (SELECT UNNEST(e[2 : len(e) - 1]) AS x FROM e) WHERE x < test.p) + 1 AS INTEGER) AS decile FROM test)"
 add("qcut_decile", lambda s, d: stats.qcut(test_rows(s, d)).select("lead_id", "decile"), f", {QCUT} SELECT lead_id, decile FROM q")
-add("calibration_table", lambda s, d: stats.calibration(test_rows(s, d)), f", {QCUT} SELECT CAST(DENSE_RANK() OVER (ORDER BY decile) AS INTEGER) AS decile, ROUND(AVG(p), 6) AS mean_predicted, ROUND(AVG(y), 6) AS observed_rate, COUNT(*) AS leads FROM q GROUP BY q.decile")
+add("calibration_table", lambda s, d: stats.calibration(test_rows(s, d)), f", {QCUT} SELECT CAST(DENSE_RANK() OVER (ORDER BY decile) AS INTEGER) AS decile, ROUND_EVEN(AVG(p), 6) AS mean_predicted, ROUND_EVEN(AVG(y), 6) AS observed_rate, COUNT(*) AS leads FROM q GROUP BY q.decile")
 HIST = "e AS (" + INNER.format(c="estimated_value", t="split WHERE is_ref") + "), h AS (SELECT split.*, CAST((SELECT COUNT(*) FROM (SELECT UNNEST(e[2 : len(e) - 1]) AS x FROM e) WHERE split.estimated_value >= x) AS INTEGER) AS bin FROM split)"
 add("np_quantile_edges", lambda s, d: stats.decile_edges(reference_of(s, d).where("is_ref"), "estimated_value", False).select(F.explode("edges").alias("edge")).select(fx.rnd(F.col("edge"), 4).alias("edge")), ", e AS (" + INNER.format(c="estimated_value", t="split WHERE is_ref") + ") SELECT ROUND(UNNEST(e), 4) AS edge FROM e")
 add("np_histogram", lambda s, d: stats.histogram_bins(reference_of(s, d), "estimated_value", F.col("is_ref")).groupBy("bin", "is_ref").agg(F.count(F.lit(1)).alias("n")), f", {HIST} SELECT bin, is_ref, COUNT(*) AS n FROM h GROUP BY 1, 2")
@@ -226,14 +229,37 @@ CATS = "c AS (SELECT {f} AS v, COUNT(*) FILTER (WHERE is_ref) AS er, COUNT(*) FI
 add("psi_categorical", lambda s, d: stats.psi_categorical(reference_of(s, d), "channel").select(fx.rnd(F.col("psi"), 6).alias("psi")), f", {CATS.format(f='channel')} SELECT ROUND(SUM((ar - er) * LN(ar / er)), 6) AS psi FROM r")
 add("cat_full_outer", lambda s, d: stats._sides(reference_of(s, d).withColumnRenamed("region", "v"), "v"), ", c AS (SELECT region AS v, COUNT(*) FILTER (WHERE is_ref) AS er, COUNT(*) FILTER (WHERE NOT is_ref) AS ar FROM split GROUP BY 1) SELECT * FROM c")
 STATUS = "CASE WHEN psi >= 0.20 THEN 'review' WHEN psi >= 0.10 THEN 'watch' ELSE 'stable' END AS status"
-add("psi_status", lambda s, d: stats.drift(reference_of(s, d), ("estimated_value",), ("channel",)), f""", {HIST}, c0 AS (SELECT bin, COUNT(*) FILTER (WHERE is_ref) AS er, COUNT(*) FILTER (WHERE NOT is_ref) AS ar FROM h GROUP BY bin),
-  r0 AS (SELECT GREATEST(er / SUM(er) OVER (), 1e-6) AS er, GREATEST(ar / SUM(ar) OVER (), 1e-6) AS ar FROM c0), {CATS.format(f='channel')},
-  t AS (SELECT 'estimated_value' AS feature, 'numeric' AS feature_type, SUM((ar - er) * LN(ar / er)) AS psi FROM r0 UNION ALL SELECT 'channel', 'categorical', SUM((ar - er) * LN(ar / er)) FROM r)
-  SELECT feature, feature_type, ROUND(psi, 6) AS psi, {STATUS} FROM t""")
-add("slice_calibration", lambda s, d: stats.slice_calibration(test_rows(s, d)), "SELECT channel, COUNT(*) AS leads, ROUND(AVG(y), 6) AS observed_booking_rate, ROUND(AVG(p), 6) AS average_prediction, ROUND(AVG(p) - AVG(y), 6) AS calibration_gap FROM test GROUP BY channel")
+_SIDES = "COUNT(*) FILTER (WHERE is_ref) AS er, COUNT(*) FILTER (WHERE NOT is_ref) AS ar"
+_SHARES = "SELECT GREATEST(er / SUM(er) OVER (), 1e-6) AS er, GREATEST(ar / SUM(ar) OVER (), 1e-6) AS ar"
+_drift, _rows = [], []
+for _n in NUMERIC:
+    _drift += [f"e_{_n} AS (" + INNER.format(c=f"CAST({_n} AS DOUBLE)", t="split WHERE is_ref") + ")",
+               f"h_{_n} AS (SELECT is_ref, (SELECT COUNT(*) FROM (SELECT UNNEST(e[2 : len(e) - 1]) AS x FROM e_{_n}) WHERE CAST(split.{_n} AS DOUBLE) >= x) AS bin FROM split WHERE {_n} IS NOT NULL)",
+               f"r_{_n} AS ({_SHARES} FROM (SELECT bin, {_SIDES} FROM h_{_n} GROUP BY bin))"]
+    _rows.append(f"SELECT '{_n}' AS feature, 'numeric' AS feature_type, CASE WHEN (SELECT len(e) FROM e_{_n}) >= 3 THEN SUM((ar - er) * LN(ar / er)) ELSE 0.0 END AS psi FROM r_{_n}")
+for _n in CATEGORICAL:
+    _drift.append(f"r_{_n} AS ({_SHARES} FROM (SELECT COALESCE({_n}, 'None') AS v, {_SIDES} FROM split GROUP BY 1))")
+    _rows.append(f"SELECT '{_n}', 'categorical', SUM((ar - er) * LN(ar / er)) FROM r_{_n}")
+DRIFT = f", {', '.join(_drift)}, drift AS (SELECT feature, feature_type, ROUND(psi, 6) AS psi, {STATUS} FROM ({' UNION ALL '.join(_rows)}))"
+drift_of = lambda s, d: stats.drift(reference_of(s, d), NUMERIC, CATEGORICAL)
+add("psi_status", drift_of, f"{DRIFT} SELECT * FROM drift")
+add("dash_drift", lambda s, d: drift_of(s, d).orderBy(F.col("psi").desc(), "feature"), f"{DRIFT} SELECT * FROM drift ORDER BY psi DESC, feature")
+
+
+def newest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 30% with the fixed score."""
+    rows = reference_of(spark, sf_dir).where(~F.col("is_ref"))
+    return scoring.fixed_scorer(rows, "p0").select("lead_id", "channel", fx.rnd(F.col("p0"), 6).alias("p"), F.col("target_booked").alias("y"))
+
+
+add("slice_calibration", lambda s, d: stats.slice_calibration(newest_rows(s, d)), """, n AS (SELECT channel, ROUND(p0, 6) AS p, target_booked AS y FROM scored WHERE NOT is_ref)
+  SELECT channel, COUNT(*) AS leads, ROUND_EVEN(AVG(y), 6) AS observed_booking_rate, ROUND_EVEN(AVG(p), 6) AS average_prediction, ROUND_EVEN(AVG(p) - AVG(y), 6) AS calibration_gap FROM n GROUP BY channel""")
+add("dash_calibration", lambda s, d: stats.calibration(test_rows(s, d)).orderBy("decile"), sql_of("calibration_table") + " ORDER BY decile")
 RANKS = """, g AS (SELECT p, CAST(SUM(y) AS DOUBLE) AS tp, COUNT(*) AS n FROM test GROUP BY p),
   c AS (SELECT p, tp, n - tp AS fp, SUM(tp) OVER (ORDER BY p DESC) AS ctp, SUM(n) OVER (ORDER BY p DESC) AS cn, SUM(tp) OVER () AS np, SUM(n - tp) OVER () AS nn, SUM(n - tp) OVER (ORDER BY p) - (n - tp) AS below FROM g)"""
 add("roc_auc", lambda s, d: stats.ranking_metrics(test_rows(s, d)).select("roc_auc"), RANKS + " SELECT ROUND(SUM(tp * (below + 0.5 * fp)) / (MAX(np) * MAX(nn)), 6) AS roc_auc FROM c")
+add("dash_summary", lambda s, d: marts.matured_summary(f := fct_of(s, d)).crossJoin(marts.recent_candidates(f, CONFIG).agg(F.count(F.lit(1)).cast("int").alias("open_candidates"))).crossJoin(stats.ranking_metrics(test_rows(s, d)).select(F.col("roc_auc").alias("test_roc_auc"))).crossJoin(drift_of(s, d).agg(F.max("psi").alias("maximum_psi"))),
+    f"{RANKS}, {DRIFT.removeprefix(', ')} SELECT *, (SELECT CAST(COUNT(*) AS INTEGER) FROM fct WHERE {OPEN}) AS open_candidates, (SELECT ROUND(SUM(tp * (below + 0.5 * fp)) / (MAX(np) * MAX(nn)), 6) FROM c) AS test_roc_auc, (SELECT MAX(psi) FROM drift) AS maximum_psi FROM ({SUMMARY})")
 add("average_precision", lambda s, d: stats.ranking_metrics(test_rows(s, d)).select("average_precision"), RANKS + " SELECT ROUND(SUM(tp / np * (ctp / cn)), 6) AS average_precision FROM c")
 COUNTS = ", m AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE p >= 0.3 AND y = 1) AS tp, COUNT(*) FILTER (WHERE p >= 0.3 AND y = 0) AS fp, COUNT(*) FILTER (WHERE p < 0.3 AND y = 1) AS fn, AVG(POW(p - y, 2)) AS b FROM test)"
 for _metric, _sql in {
@@ -249,8 +275,8 @@ add("naive_baseline", lambda s, d: stats.threshold_metrics(stats.naive(test_rows
 # Scoring.
 RULES = f"""p AS (SELECT {CANDIDATES}, 1 / (1 + EXP(-z)) AS p FROM (SELECT *, -0.9 + CASE WHEN consent_to_contact THEN 0.7 ELSE -0.6 END + CASE WHEN is_returning THEN 0.5 ELSE 0.0 END
     - 0.0015::DOUBLE * response_minutes + 0.15::DOUBLE * follow_up_count + 0.02::DOUBLE * created_hour AS z FROM fct WHERE {OPEN})),
-  s AS (SELECT *, ROUND(p, 6) AS booking_probability, CASE WHEN p <= 0.35 THEN 'low' WHEN p <= 0.65 THEN 'medium' ELSE 'high' END AS risk_band,
-    ROUND(p * estimated_value * CASE WHEN response_minutes >= 120 THEN 1.2::DOUBLE ELSE 1 END, 2) AS priority_score,
+  s AS (SELECT *, ROUND_EVEN(p, 6) AS booking_probability, CASE WHEN p <= 0.35 THEN 'low' WHEN p <= 0.65 THEN 'medium' ELSE 'high' END AS risk_band,
+    ROUND_EVEN(p * estimated_value * CASE WHEN response_minutes >= 120 THEN 1.2::DOUBLE ELSE 1 END, 2) AS priority_score,
     CASE WHEN consent_to_contact AND p >= 0.35 THEN 'human_follow_up' WHEN NOT consent_to_contact THEN 'consent_review' ELSE 'nurture' END AS recommended_action FROM p)"""
 
 
@@ -265,5 +291,31 @@ _Z = "-0.9 + CASE WHEN {c} THEN 0.7 ELSE -0.6 END + CASE WHEN is_returning THEN
 add("counterfactual", lambda s, d: scores_of(s, d).select("lead_id", F.explode("drivers").alias("x")).select("lead_id", "x.factor", "x.probability_delta"), f", {RULES}, w AS (" + " UNION ALL ".join(
     f"SELECT lead_id, '{factor}' AS factor, 1 / (1 + EXP(-({_Z.format(**{'c': 'consent_to_contact', 'r': 'response_minutes', 'f': 'follow_up_count'} | change)}))) - p AS delta FROM s"
     for factor, change in (("response_minutes", {"r": "5"}), ("follow_up_count", {"f": "3"}), ("consent_to_contact", {"c": "TRUE"}))
-) + ") SELECT lead_id, factor, ROUND(delta, 4) AS probability_delta FROM w WHERE ABS(delta) >= 0.005")
+) + ") SELECT lead_id, factor, ROUND_EVEN(delta, 4) AS probability_delta FROM w WHERE ABS(delta) >= 0.005")
 add("dash_candidates", lambda s, d: top_candidates(scores_of(s, d)), f", {RULES} SELECT lead_id, channel, service_type, ROUND(booking_probability, 4) AS booking_probability, ROUND(priority_score, 2) AS priority_score, recommended_action, ROUND(response_minutes, 1) AS response_minutes, ROUND(estimated_value, 2) AS estimated_value FROM s ORDER BY priority_score DESC, lead_id LIMIT 12")
+
+# Preparation: what the models learn of the training rows.
+_TRAIN = "FROM split WHERE split = 'train'"
+
+
+def preparation_of(spark: SparkSession, sf_dir: str) -> ml.Preparation:
+    return ml.Preparation.learn(stats.chrono_split(training_of(spark, sf_dir)).where("split = 'train'"), scale=True)
+
+
+def prepared_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature, median, mean, deviation): the imputer's and the scaler's numbers, a row for each feature."""
+    p = preparation_of(spark, sf_dir)
+    rows = spark.createDataFrame([(c, p.median[c], p.mean[c], p.deviation[c]) for c in NUMERIC], "feature string, median double, mean double, deviation double")
+    return rows.select("feature", *[fx.rnd(F.col(c), 4).alias(c) for c in ("median", "mean", "deviation")])
+
+
+def prepared_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature, place, category, is_mode): the one-hot columns in their order, and the imputer's value."""
+    p = preparation_of(spark, sf_dir)
+    return spark.createDataFrame([(c, k + 1, v, v == p.mode[c]) for c in CATEGORICAL for k, v in enumerate(p.categories[c])], "feature string, place int, category string, is_mode boolean")
+
+
+add("prep_numeric", prepared_numbers, " UNION ALL ".join(
+    (" " if k == 0 else "") + f"SELECT '{c}' AS feature, ROUND(MEDIAN(CAST({c} AS DOUBLE)), 4) AS median, ROUND(AVG(CAST({c} AS DOUBLE)), 4) AS mean, ROUND(STDDEV_POP(CAST({c} AS DOUBLE)), 4) AS deviation {_TRAIN}" for k, c in enumerate(NUMERIC)))
+add("prep_categorical", prepared_categories, ", cats AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS category, COUNT(*) AS n {_TRAIN} AND {c} IS NOT NULL GROUP BY 2" for c in CATEGORICAL) + """)
+  SELECT feature, CAST(ROW_NUMBER() OVER (PARTITION BY feature ORDER BY category) AS INTEGER) AS place, category, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY n DESC, category) = 1 AS is_mode FROM cats""")

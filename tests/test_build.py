@@ -34,7 +34,7 @@ def test_generator(spark):
 @pytest.fixture(scope="module")
 def run(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("run")
-    return root, build(spark, str(root), str(root / "artifacts"), leads=1800, as_of=AS_OF, rounds=5, repeats=1)
+    return root, build(spark, str(root), str(root / "artifacts"), leads=1800, as_of=AS_OF, rounds=30, repeats=1)
 
 
 def test_run(run, spark):
@@ -44,8 +44,9 @@ def test_run(run, spark):
     assert out["quality"]["status"] == "passed" and len(out["quality"]["checks"]) == 9
     assert matured == w.read_table("model_training_set").count() == w.read_table("mart_channel_performance").agg(F.sum("leads")).first()[0]
     own, plain = out["model"]["selected_test_metrics"], out["model"]["naive_test_metrics"]
-    assert own["roc_auc"] > 0.60 and own["average_precision"] > plain["average_precision"] and own["brier_score"] < plain["brier_score"]
+    assert own["roc_auc"] > 0.62 and own["average_precision"] > plain["average_precision"] and own["brier_score"] < plain["brier_score"]
     assert len(out["dashboard"]["candidates"]) <= 12 and len(out["dashboard"]["campaigns"]) <= 10 and len(out["monitoring"]["drift"]) == 9
+    assert "causal" in out["monitoring"]["caveat"]
     assert api_metrics(w)["summary"]["matured_leads"] == matured
     for name in ("data_quality_report", "model_metrics", "monitoring_report", "dashboard"):
         assert json.loads((root / "artifacts" / f"{name}.json").read_text())

@@ -158,3 +158,27 @@ def test_allow_list_and_json(spark, tmp_path):
     with pytest.raises(ValueError, match="Unsupported table"):
         Warehouse(spark, str(tmp_path)).read_table("stg_leads")
     assert json_value({"a": 1}) == {"a": 1} and json_value(float("nan")) is None and json_value(AT) == "2026-05-01T10:00:00"
+
+
+def test_score_requests_are_checked(spark):
+    good = {"channel": "referral", "campaign": "referral_circle", "service_type": "injectables", "region": "northeast", "consent_to_contact": True, "is_returning": False, "response_minutes": 42, "follow_up_count": 2, "estimated_value": 850, "created_weekday": "tuesday", "created_hour": 14}
+    assert 0 < scoring.score_request(spark, good)["booking_probability"] < 1
+    for bad in ({"channel": "fax"}, {"campaign": "x"}, {"response_minutes": 1441}, {"created_hour": 7.5}, {"follow_up_count": -1}, {"region": None}, {"consent_to_contact": 1}, {"estimated_value": 25001}):
+        with pytest.raises(ValueError, match=next(iter(bad))):
+            scoring.check_request(good | bad)
+
+
+def test_ranks_replace_columns_of_their_names(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:00:00", 7, 8), ("b", "2024-01-02 00:00:00", 7, 8)], "lead_id string, created_at string, rank int, total int").withColumn("created_at", F.to_timestamp("created_at"))
+    assert stats.chrono_split(rows, (("old", 0.5),), "new").orderBy("lead_id").collect()[0].asDict() == {"lead_id": "a", "created_at": rows.first().created_at, "rank": 7, "total": 8, "split": "old"}
+    assert [(r["rank"], r["total"]) for r in stats.ranked(rows).orderBy("lead_id").collect()] == [(0, 2), (1, 2)]
+
+
+def test_command_line(monkeypatch, capsys):
+    from leadweave import __main__ as cli
+
+    seen = {}
+    monkeypatch.setattr(cli, "session", lambda: "spark")
+    monkeypatch.setattr(cli, "build", lambda *a, **k: seen.update(a=a, k=k) or {"quality": {"status": "passed"}, "model": {"selected_model": "m", "selected_test_metrics": {}}, "monitoring": {"maximum_psi": 0.0}})
+    assert cli.main(["build", "/data", "--leads", "500", "--rounds", "3"]) == 0
+    assert seen["a"][:4] == ("spark", "/data", "/data/artifacts", 500) and seen["k"] == {"rounds": 3} and "passed" in capsys.readouterr().out
