@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import fresh, map_batches, raw_texts
 
 #: Entries of a worker's memo tables.
-PIECES, PAIRS = 150_000, 150_000
+PIECES, PAIRS = 250_000, 200_000
 
 
 class Memo(dict):
