@@ -9,8 +9,10 @@ ids before a part are the sum of the lengths of the parts before it.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -58,7 +60,13 @@ class WordEncoder:
         self.marks = {m: self._library(m) for m in ".,;:!?"}
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array("H" if self.dtype.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _simple(self, word: bytes) -> bytes | None:
         """The ids of Latin-1 letters with at most one mark behind them; None for any other word."""
@@ -71,7 +79,7 @@ class WordEncoder:
         ids = self.letters.get(base)
         if ids is None:
             unit = base if base.isascii() else "".join(map(self.mapped.__getitem__, base))
-            ids = np.array([t.id for t in self.model.tokenize(unit)], self.dtype).tobytes()
+            ids = self._bytes([t.id for t in self.model.tokenize(unit)])
             if len(self.letters) >= WORDS:
                 self.letters = {}
             self.letters[base] = ids
@@ -106,10 +114,10 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, with the end id, as bytes."""
         words = [t.split() for t in texts]
-        fresh = {w for own in words for w in own if w not in self.known}
+        every = set().union(*words)
+        fresh = every - self.known.keys()
         if len(self.known) + len(fresh) > WORDS:
-            fresh = {w for own in words for w in own}
-            self.known = {}
+            fresh, self.known = every, {}
         self.learn(fresh)
         for own in words:
             yield b"".join(map(self.known.__getitem__, own)) + self.end
