@@ -4,6 +4,11 @@ A tree over a bounded sample of distinct fingerprints deals the fingerprint spac
 distance from vantage points. Every distinct fingerprint is stored in one shard and asked of each shard that
 the triangle bound cannot rule out, so that the pairs found are exact. A shard builds its own tree, searches it
 in blocks and returns a spanning forest of its links, never all pairs of a group.
+
+Near copies of a shingle similarity of 0.8 differ in about ten bits, where triangle bounds rule nothing out. keep_first()
+therefore adds links between texts whose shingle sets have that Jaccard similarity. Candidates share a band of a MinHash
+sketch (at 0.8 all but 2 of 10,000 pairs do) and are verified on the whole sets. Members of a band's bucket meet some of
+its members, drawn by hash, not each other; buckets that still hold more than one group draw anew, and more of them.
 """
 
 from __future__ import annotations
@@ -14,39 +19,73 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, fresh, map_batches, raw_texts, small_or_shuffled
+from .common import BROADCAST_ROWS, cut, drop, fresh, map_batches, mix, raw_texts, small_or_shuffled
 from .components import components
 
 RADIUS = 3
 #: Distinct fingerprints that a shard holds, about; members of a leaf within a shard; sample for the upper tree.
 SHARD, LEAF, SAMPLE = 16_384, 64, 4_096
+#: keep_first(): Jaccard similarity of near copies and words of a shingle.
+SIMILARITY, WIDTH = 0.8, 5
+#: Bands of a MinHash sketch and hashes of a band; places of a sketch in which a pair to be verified may differ, which is
+#: four standard deviations beyond what a similarity of 0.8 leads to.
+BANDS, ROWS, APART = 16, 4, 26
+#: Members of a bucket that all its members meet, by rounds.
+HEADS = (2, 8, 8, 8)
+_FACTORS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text: bit i is set if it is set in over half the XXH64 of its shingles.
+def shingle_hashes(text: bytes, width: int = 3, seed: int = 42) -> np.ndarray:
+    """The big-endian XXH64 of the shingles of a text, in order, repeats included.
 
-    A-Z become a-z; a text of fewer than ``width`` words is one shingle, one of none has 0.
+    A-Z become a-z; a text of fewer than ``width`` words is one shingle, one of none has no shingle.
     """
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, ">u8")
     whole = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(whole, seed)
+        return np.array([xxhash.xxh64_intdigest(whole, seed)], ">u8")
     length = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(length + 1) - 1
     start = (end - length)[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(whole[a:b], seed) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)], dtype=">u8", count=len(start))
+    return np.fromiter([digest(whole[a:b], seed) for a, b in zip(start, end[width - 1 :].tolist(), strict=True)], dtype=">u8", count=len(start))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the big-endian hashes; 0 if there are none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 50_000):
         ones += np.unpackbits(h[at : at + 50_000].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
 
 
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text: bit i is set if it is set in over half the XXH64 of its shingles."""
+    return majority(shingle_hashes(text, width, seed))
+
+
+def minhash(u: np.ndarray) -> np.ndarray:
+    """The MinHash sketch of a set of hashes, not empty."""
+    n = BANDS * ROWS
+    low = np.full(n, np.iinfo(np.uint64).max)
+    for at in range(0, len(u), 2_048):
+        np.minimum(low, (np.multiply.outer(_FACTORS[:n], u[at : at + 2_048]) + _FACTORS[n:, None]).min(axis=1), out=low)
+    return low
+
+
+def bands(low: np.ndarray) -> np.ndarray:
+    """A key for each band of a sketch."""
+    key = np.arange(BANDS, dtype=np.uint64)
+    for own in low.reshape(BANDS, ROWS).T:
+        key = mix(key * np.uint64(0xD6E8FEB86659FD93) + own)
+    return key.view(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp bigint) of each row; a null text counts as empty."""
 
@@ -59,6 +98,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(rows, run, f"doc_id {kind}, fp bigint")
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(np.concatenate(rows)))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
+    """(doc_id, fp, sid, n, keys, marks) of each row: its SimHash, a 128-bit digest of its set of shingles, the set's size, the
+    keys of its bands and a byte of each place of its sketch; no keys and marks if there is no shingle."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, sids, sizes, keys, marks, none = [], [], [], [], [], np.empty(0, np.int64)
+        for text in raw_texts(batch):
+            h = shingle_hashes(text, width, seed)
+            u = np.unique(h.astype(np.uint64))
+            fps.append(majority(h))
+            sids.append(xxhash.xxh3_128_digest(u.tobytes()))
+            sizes.append(len(u))
+            low = minhash(u) if len(u) else None
+            keys.append(none if low is None else bands(low))
+            marks.append(none if low is None else mix(low).astype(np.uint8).view(np.int64))
+        columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), _lists(marks)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "sid", "n", "keys", "marks"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(rows, run, f"doc_id {kind}, fp bigint, sid binary, n bigint, keys array<bigint>, marks array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
+    """(sid, u): the distinct shingle hashes of each row's text."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, width, seed).astype(np.uint64)).view(np.int64) for t in raw_texts(batch)]
+        return pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["sid", "u"])
+
+    return map_batches(docs.select("sid", F.col(text_col).cast("string").alias("text")), run, "sid binary, u array<bigint>")
+
+
 class Tree:
     """A vantage-point tree as arrays: node i has a vantage, a bound and children; a negative child is leaf -1-k."""
 
@@ -197,15 +273,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that come first (by id, a null id before others) in their near_duplicates() group, with all columns.
+def _apart(a: str, b: str) -> Column:
+    """The bytes in which two arrays of marks differ."""
+    out = F.lit(0)
+    for k in range(BANDS * ROWS // 8):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        for step in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        out = out + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return out
 
-    Repeated rows of one id and text keep one. The ids that go are broadcast if few, so that texts aren't shuffled.
+
+def similar_groups(docs: DataFrame, sketched: DataFrame, edges: DataFrame, id_col: str, text_col: str, width: int, seed: int, similarity: float) -> DataFrame:
+    """(node, root): groups by ``edges`` (a, b) and by links between sets of shingles whose Jaccard similarity is at least ``similarity``.
+
+    Nodes are digests of sets, so that equal sets cost nothing. Heads are mins by hash, which combine before the shuffle,
+    so that the pairs are in proportion to the nodes however large a bucket is. Texts are fetched again for nodes that
+    share a bucket only.
+    """
+    edges = cut(edges)
+    root = cut(components(edges))
+    nodes = cut(sketched.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("marks").alias("marks"), F.min("doc_id").alias("at")))
+    keyed = nodes.select("sid", "n", "marks", F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").count().where("count > 1").select("key"))
+    member = cut(keyed.join(small_or_shuffled(shared, BROADCAST_ROWS), "key"))
+    wanted = cut(member.select("sid").distinct())
+    first = cut(nodes.select("sid", F.col("at").alias(id_col)).join(small_or_shuffled(wanted, BROADCAST_ROWS), "sid"))
+    texts = docs.select(id_col, text_col).join(small_or_shuffled(first, BROADCAST_ROWS, F.lit(64)), id_col)
+    sets = cut(shingle_sets(texts, text_col, width, seed))
+    if not sets.groupBy("sid").count().where("count > 1").isEmpty():  # repeated rows of one id and text
+        sets = cut(sets.dropDuplicates(["sid"]))
+    for turn, count in enumerate(HEADS):
+        up = small_or_shuffled(root.withColumnRenamed("node", "sid"), BROADCAST_ROWS)
+        rooted = cut(member.join(up, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+        several = cut(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
+        rest = cut(rooted.join(small_or_shuffled(several, BROADCAST_ROWS), "key"))
+        own = F.col("key") if turn else F.lit(0)  # the first heads are those of many buckets, for few pairs
+        heads = [F.min(F.struct(F.xxhash64("sid", own, F.lit(turn), F.lit(k)).alias("h"), "sid", "n", "root", "marks")) for k in range(count)]
+        led = cut(rest.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("heads")))
+        met = rest.join(small_or_shuffled(led, BROADCAST_ROWS, F.lit(count * 160)), "key").select("sid", "n", "root", "marks", F.inline("heads").alias("h", "head", "head_n", "head_root", "head_marks"))
+        room = F.least("n", "head_n") >= F.lit(similarity) * F.greatest("n", "head_n") - 1e-9
+        pairs = cut(met.where("root <> head_root").where(room & (_apart("marks", "head_marks") <= APART)).select(F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b")).distinct())
+        both = pairs.join(sets.withColumnRenamed("sid", "a"), "a").join(sets.select(F.col("sid").alias("b"), F.col("u").alias("v")), "b")
+        common = F.size(F.array_intersect("u", "v"))
+        found = cut(both.where(common * (1 + similarity) >= F.lit(similarity) * (F.size("u") + F.size("v")) - 1e-9).select("a", "b"))
+        drop(rooted, several, rest, led, pairs)
+        if found.isEmpty() and turn:
+            break
+        edges = edges.union(found)
+        root = cut(components(edges))
+    return root
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = 42, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that come first (by id, a null id before others) of each group of near copies, with all columns.
+
+    Rows are linked if their fingerprints differ in at most ``radius`` bits or their sets of shingles have a Jaccard
+    similarity of ``similarity``; groups are what is reachable by links. Null and empty texts have no shingles and
+    link to each other, and to texts whose fingerprint is within the radius of zero. Repeated rows of one id and text keep one;
+    an empty table gives an empty one. The ids that go are broadcast if few, so that texts aren't shuffled.
     """
     (k,) = fresh(docs, "_k")
     keyed = docs.select("*", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th")).alias(k))
-    found = cut(near_duplicates(keyed, k, text_col, width, seed, radius).select("doc_id", "component_id"))
-    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(k)).distinct())
+    found = cut(sketches(keyed, k, text_col, width, seed))
+    # Nodes are sets of shingles; those of one fingerprint hang on the least of them.
+    by_fp = cut(found.groupBy("fp").agg(F.min("sid").alias("low")))
+    own = found.select("fp", "sid").distinct().join(by_fp, "fp").where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))
+    end = lambda c: by_fp.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}"))
+    near = links(by_fp, radius).join(end("a"), "a").join(end("b"), "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+    root = similar_groups(keyed, found, own.union(near), k, text_col, width, seed, similarity)
+    rooted = found.select("doc_id", "sid").join(small_or_shuffled(root.withColumnRenamed("node", "sid"), BROADCAST_ROWS), "sid", "left")
+    grouped = cut(rooted.select("doc_id", F.coalesce("root", "sid").alias("root")))
+    least = grouped.groupBy("root").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("root", "first")
+    gone = cut(grouped.join(small_or_shuffled(cut(least), BROADCAST_ROWS), "root").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias(k)).distinct())
     kept = keyed.join(small_or_shuffled(gone, BROADCAST_ROWS), k, "left_anti")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([k])

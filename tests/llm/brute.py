@@ -36,10 +36,13 @@ def simhash(hashes: list[int]) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
 
 
-def fingerprint(text: str | None) -> int:
+def shingles(text: str | None, width: int = 3) -> list[str]:
     words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
-    shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else ([" ".join(words)] if words else [])
-    return simhash([xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles])
+    return [" ".join(words[k : k + width]) for k in range(len(words) - width + 1)] if len(words) >= width else ([" ".join(words)] if words else [])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return simhash([xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles(text, width)])
 
 
 def near_duplicates(rows: list[tuple[int, str | None]], radius: int = 3) -> list[tuple[int, str, int]]:
@@ -56,6 +59,21 @@ def near_duplicates(rows: list[tuple[int, str | None]], radius: int = 3) -> list
     return [(i, f"{fps[k]:016x}", least[groups.find(k)]) for k, (i, _) in enumerate(rows)]
 
 
+def first_copies(rows: list[tuple[int, str | None]], radius: int = 3, width: int = 5, similarity: float = 0.8) -> set:
+    """The ids that come first in their group of near copies, by fingerprints and by sets of shingles."""
+    fps, sets = [fingerprint(t, width) for _, t in rows], [set(shingles(t, width)) for _, t in rows]
+    groups, least = Groups(), {}
+    for k in range(len(rows)):
+        for j in range(k):
+            both = len(sets[k] & sets[j])
+            alike = both and both >= similarity * (len(sets[k]) + len(sets[j]) - both) - 1e-9
+            if alike or (fps[k] ^ fps[j]).bit_count() <= radius:
+                groups.link(k, j)
+    for k, (i, _) in enumerate(rows):
+        least[groups.find(k)] = min(least.get(groups.find(k), i), i)
+    return set(least.values())
+
+
 def similar(texts: list[str], similarity: float = 0.8) -> list[tuple[int, int]]:
     """All pairs of places whose texts have the edit similarity, by another engine's edit distance."""
     import duckdb

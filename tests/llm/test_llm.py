@@ -80,6 +80,26 @@ def test_keep_first(spark, odd):
     assert {r.doc_id for r in kept.collect()} == {None, 0, 3, 4, 5, 7, 8, 9}
 
 
+def test_keep_first_finds_near_copies(spark):
+    from leadweave.llm import simhash
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [[word() for _ in range(n)] for n in (4, 9, 30, 80, 300, 3000)]
+    rows = []
+    for k in range(240):
+        own = list(base[k % 6])
+        for _ in range(rng.randint(0, 1 + len(own) // 25)):
+            own[rng.randrange(len(own))] = word()
+        rows.append((k, " ".join(own).title() if k % 5 == 0 else " ".join(own)))
+    kept = {r.doc_id for r in simhash.keep_first(table(spark, rows)).collect()}
+    assert kept == brute.first_copies(rows) and len(kept) < len({i for i, _, c in brute.near_duplicates(rows) if i == c})
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5).astype(np.uint64)) for _, t in rows]
+    keys = [set(simhash.bands(simhash.minhash(u)).tolist()) for u in sets]
+    pairs = [(a, b) for a in range(240) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    assert len(pairs) > 500 and sum(not keys[a].isdisjoint(keys[b]) for a, b in pairs) >= 0.99 * len(pairs)
+
+
 def test_components_of_a_path_and_a_star(spark):
     from leadweave.llm.components import components
 
@@ -419,8 +439,7 @@ def test_pipeline(spark):
         now = stage(spark, step, DATA)
         assert now.columns == docs.columns and now.count() <= step.count()
         step = now
-    near = brute.near_duplicates([(r.doc_id, r.text) for r in out])
-    assert len({c for _, _, c in near}) == len(near)
+    assert brute.first_copies([(r.doc_id, r.text) for r in out]) == set(ids)
 
 
 def test_decontamination_of_repeated_and_nameless_items(spark):
@@ -516,14 +535,16 @@ def test_pipeline_is_the_chain_of_plain_versions(spark, tmp_path):
             lines[2] += " " + item
         rows.append([k, "\n".join(lines), "en" if k % 2 else "de", f"s{k % 3}"])
     rows[7][1] = " ".join(w + "###" for w in rows[7][1].split())
-    rows += [[60, rows[5][1].replace("\n", "\n\n"), "en", "s0"], [61, None, "en", None], [62, "", None, "s0"], [63, "too few words", "en", "s0"], [64, "x " * 3000, "en", "s1"]]
+    fresh = rows[8][1].split("\n")
+    near = "\n".join(" ".join([*fresh[j].split()[:6], *fresh[j - 1].split()[6:]]) for j in range(4))
+    rows += [[60, rows[5][1].replace("\n", "\n\n"), "en", "s0"], [65, near, "de", "s2"], [61, None, "en", None], [62, "", None, "s0"], [63, "too few words", "en", "s0"], [64, "x " * 3000, "en", "s1"]]
     docs = spark.createDataFrame([(i, t, a, b, len(t) if t else None, "own") for i, t, a, b in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, _k string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = {r[0] for r in brute.quality(rows) if r[7]}
     step = [(i, t) for i, t, _, _ in rows if i in kept]
     step = [(i, t) for i, t, _ in brute.line_dedup(step)]
-    near = {i for i, _, c in brute.near_duplicates(step) if i == c}
+    near = brute.first_copies(step)
     step = [(i, t) for i, t in step if i in near]
     shingles = lambda t: {tuple(w[k : k + 5]) for w in [brute.PLAIN.findall(t.lower())] for k in range(len(w) - 4)}
     step = [(i, t) for i, t in step if len(shingles(t) & shingles(item)) < 0.8 * len(shingles(item)) - 1e-9]
