@@ -291,8 +291,7 @@ def similar_groups(docs: DataFrame, sketched: DataFrame, edges: DataFrame, id_co
     so that the pairs are in proportion to the nodes however large a bucket is. Texts are fetched again for nodes that
     share a bucket only.
     """
-    edges = cut(edges)
-    root = cut(components(edges))
+    root = None
     nodes = cut(sketched.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("marks").alias("marks"), F.min("doc_id").alias("at")))
     keyed = nodes.select("sid", "n", "marks", F.explode("keys").alias("key"))
     shared = cut(keyed.groupBy("key").count().where("count > 1").select("key"))
@@ -304,8 +303,11 @@ def similar_groups(docs: DataFrame, sketched: DataFrame, edges: DataFrame, id_co
     if not sets.groupBy("sid").count().where("count > 1").isEmpty():  # repeated rows of one id and text
         sets = cut(sets.dropDuplicates(["sid"]))
     for turn, count in enumerate(HEADS):
-        up = small_or_shuffled(root.withColumnRenamed("node", "sid"), BROADCAST_ROWS)
-        rooted = cut(member.join(up, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+        if root is None:
+            rooted = cut(member.withColumn("root", F.col("sid")))
+        else:
+            up = small_or_shuffled(root.withColumnRenamed("node", "sid"), BROADCAST_ROWS)
+            rooted = cut(member.join(up, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
         several = cut(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
         rest = cut(rooted.join(small_or_shuffled(several, BROADCAST_ROWS), "key"))
         own = F.col("key") if turn else F.lit(0)  # the first heads are those of many buckets, for few pairs
@@ -313,15 +315,21 @@ def similar_groups(docs: DataFrame, sketched: DataFrame, edges: DataFrame, id_co
         led = cut(rest.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("heads")))
         met = rest.join(small_or_shuffled(led, BROADCAST_ROWS, F.lit(count * 160)), "key").select("sid", "n", "root", "marks", F.inline("heads").alias("h", "head", "head_n", "head_root", "head_marks"))
         room = F.least("n", "head_n") >= F.lit(similarity) * F.greatest("n", "head_n") - 1e-9
-        pairs = cut(met.where("root <> head_root").where(room & (_apart("marks", "head_marks") <= APART)).select(F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b")).distinct())
+        pairs = cut(met.where("root <> head_root").where(room & (_apart("marks", "head_marks") <= APART)).groupBy(F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b")).agg(F.min(F.least("root", "head_root")).alias("ra"), F.min(F.greatest("root", "head_root")).alias("rb")))
         both = pairs.join(sets.withColumnRenamed("sid", "a"), "a").join(sets.select(F.col("sid").alias("b"), F.col("u").alias("v")), "b")
         common = F.size(F.array_intersect("u", "v"))
-        found = cut(both.where(common * (1 + similarity) >= F.lit(similarity) * (F.size("u") + F.size("v")) - 1e-9).select("a", "b"))
+        found = cut(both.where(common * (1 + similarity) >= F.lit(similarity) * (F.size("u") + F.size("v")) - 1e-9).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         drop(rooted, several, rest, led, pairs)
-        if found.isEmpty() and turn:
+        if root is None:
+            root = cut(components(edges.union(found)))
+            continue
+        if found.isEmpty():
             break
-        edges = edges.union(found)
-        root = cut(components(edges))
+        # Links between roots are few, so that groups are joined on a small graph; a root is a node of its own group.
+        new = cut(components(found))
+        step = small_or_shuffled(new.select(F.col("node").alias("root"), F.col("root").alias("up")), BROADCAST_ROWS)
+        moved = root.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        root = cut(moved.union(new.join(root.select("node"), "node", "left_anti")))
     return root
 
 
