@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, gam, langid, lines, pii, quality, repeats, simhash, token_files
+from . import bpe, decontamination, gam, langid, lines, pii, quality, repeats, resampling, simhash, token_files, vectors
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
@@ -83,5 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_vector_codes": op12_vector_codes,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontamination.ORACLE_SQL, "op10_substring_dedup": repeats.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontamination.ORACLE_SQL, "op10_substring_dedup": repeats.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL, "op12_vector_codes": vectors.ORACLE_SQL}
