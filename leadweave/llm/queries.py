@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, gam, langid, lines, pii, quality, repeats, resampling, simhash, token_files, vectors
+from . import bpe, decontamination, gam, jaccard, langid, lines, pii, quality, repeats, resampling, simhash, token_files, vectors
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.digests(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
@@ -93,5 +97,12 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_vector_codes": op12_vector_codes,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontamination.ORACLE_SQL,
+    "op10_substring_dedup": repeats.ORACLE_SQL,
+    "op11_importance_resampling": resampling.ORACLE_SQL,
+    "op12_vector_codes": vectors.ORACLE_SQL,
+    "op13_ngram_jaccard": jaccard.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontamination.ORACLE_SQL, "op10_substring_dedup": repeats.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL, "op12_vector_codes": vectors.ORACLE_SQL}
