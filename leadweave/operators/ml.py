@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import BOOLEAN, CATEGORICAL, FEATURES, NUMERIC, TARGET
-from .stats import best_threshold, calibration, chrono_split, metrics, naive
+from ..functions import rint
+from .ranges import quantiles
+from .scoring import Scorer
+from .stats import best_threshold, calibration, chrono_split, metrics, naive, ranking_metrics
 
 LEAST_ROWS, REPEATS = 500, 8
 #: Boosting: rounds, rate and depth; trees of this depth have up to 16 leaves.
@@ -35,9 +38,8 @@ class Preparation:
 
     @classmethod
     def learn(cls, df: DataFrame, scale: bool) -> Preparation:
-        """Exact medians; ties of the most frequent value go to the smallest; two passes over df."""
-        first = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in NUMERIC]).first()
-        median = {c: float(first[c] or 0.0) for c in NUMERIC}
+        """Exact medians; ties of the most frequent value go to the smallest. Categories are as many as the model has columns."""
+        median = {c: float(found[0] or 0.0) for c, found in quantiles(df, list(NUMERIC), [0.5]).items()}
         filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(median[c])).alias(c) for c in NUMERIC])
         second = filled.agg(*[f(c).alias(f"{c}_{n}") for c in NUMERIC for n, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
         counts = {c: df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().collect() for c in CATEGORICAL}
@@ -115,25 +117,37 @@ def scored(preparation: Preparation, model: Any, df: DataFrame) -> DataFrame:
     return made.select(*df.columns, "p", F.col(TARGET).cast("double").alias("y"))
 
 
-def permuted(df: DataFrame, column: str, seed: int, bucket_rows: int = 10_000) -> DataFrame:
-    """df with a column's values dealt out anew at random, within random buckets of about bucket_rows rows."""
-    buckets = max(1, df.count() // bucket_rows)
-    of = F.pmod(F.xxhash64("lead_id", F.lit(seed)), F.lit(buckets))
-    place = lambda salt: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("lead_id", F.lit(salt)), "lead_id"))
-    left = df.withColumn("_b", of).withColumn("_r", place(seed + 1))
-    right = df.select("lead_id", F.col(column).alias("_v"), of.alias("_b")).withColumn("_r", place(seed + 2)).select("_b", "_r", "_v")
-    return left.join(right, ["_b", "_r"]).withColumn(column, F.col("_v")).select(*df.columns)
+def permuted(test: DataFrame, seed: int, repeats: int = REPEATS, bucket_rows: int = 10_000) -> DataFrame:
+    """test with ``feature`` and ``repeat``: its rows once as they are (feature '', repeat 0), and for each feature and repeat with that feature's values dealt out anew.
 
-
-def importance(preparation: Preparation, model: Any, test: DataFrame, seed: int, repeats: int = REPEATS) -> list[dict[str, Any]]:
-    """Mean and deviation of the drop in ROC AUC when a feature's values are dealt out anew, largest first."""
-    auc = lambda df: metrics(scored(preparation, model, df), 0.5).first().roc_auc or 0.0
-    base, out = auc(test), []
-    for k, feature in enumerate(FEATURES):
-        drops = [base - auc(permuted(test, feature, seed + 1000 * k + 10 * r)) for r in range(repeats)]
-        mean = sum(drops) / repeats
-        out.append({"feature": feature, "importance_mean": round(mean, 6), "importance_std": round((sum((d - mean) ** 2 for d in drops) / repeats) ** 0.5, 6)})
-    return sorted(out, key=lambda x: -x["importance_mean"])
+    Within buckets of about bucket_rows rows, each row takes the value of the row that comes next by a digest of id, seed, feature and repeat, the last
+    one that of the first: a random cycle, by one window over rows of the scenario, that any engine with md5 can repeat.
+    """
+    buckets = max(1, test.count() // bucket_rows)
+    key = F.col("lead_id").cast("string")
+    bucket = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("bigint") % buckets
+    scenarios = [("", 0), *((c, r) for c in FEATURES for r in range(1, repeats + 1))]
+    scenario = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat")) for c, r in scenarios]))
+    rows = test.withColumn("_bucket", bucket).withColumn("_s", scenario).select(*test.columns, "_bucket", "_s.*")
+    place = F.md5(F.concat_ws(":", key, F.lit(str(seed)), "feature", F.col("repeat").cast("string")).cast("binary"))
+    cycle = Window.partitionBy("feature", "repeat", "_bucket").orderBy(place, "lead_id")
+    own = F.struct(*FEATURES)
+    first = F.first(own).over(cycle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    moved = rows.withColumn("_next", F.coalesce(F.lead(own).over(cycle), first))
+    dealt = [F.when(F.col("feature") == c, F.col(f"_next.{c}")).otherwise(F.col(c)).alias(c) if c in FEATURES else F.col(c) for c in test.columns]
+    return moved.select(*dealt, "feature", "repeat")
+
+
+def importance(test: DataFrame, scorer: Scorer, seed: int, repeats: int = REPEATS, target: str = TARGET, bucket_rows: int = 10_000) -> DataFrame:
+    """(feature, importance_mean, importance_std): mean and population deviation over repeats of the drop in ROC AUC when a feature's values are dealt out anew.
+
+    All features and repeats are one plan: scores are grouped by scenario, and one ranking gives every scenario's AUC.
+    """
+    judged = scorer(permuted(test, seed, repeats, bucket_rows), "p").select("feature", "repeat", "p", F.col(target).alias("y"))
+    auc = ranking_metrics(judged, by=("feature", "repeat"), digits=None).select("feature", "repeat", "roc_auc")
+    plain = F.max(F.when(F.col("feature") == "", F.col("roc_auc"))).over(Window.partitionBy())  # a row for each scenario
+    drops = auc.withColumn("drop", plain - F.col("roc_auc")).where("feature <> ''")
+    return drops.groupBy("feature").agg(rint(F.avg("drop"), 6).alias("importance_mean"), rint(F.stddev_pop("drop"), 6).alias("importance_std"))
 
 
 def train(training: DataFrame, seed: int, as_of_date: str, rounds: int = ROUNDS, repeats: int = REPEATS) -> tuple[Bundle, dict[str, Any], DataFrame, list[dict[str, Any]]]:
@@ -175,7 +189,9 @@ def train(training: DataFrame, seed: int, as_of_date: str, rounds: int = ROUNDS,
         "naive_test_metrics": plain,
         "test_date_range": {"start": dates[0].isoformat(), "end": dates[1].isoformat()},
     }
-    return bundle, document, calibration(tested), importance(*fitted[best], part["test"], seed, repeats)
+    scorer = lambda df, name: scored(*fitted[best], df).withColumnRenamed("p", name)
+    found_importance = importance(part["test"], scorer, seed, repeats).orderBy(F.col("importance_mean").desc(), "feature")
+    return bundle, document, calibration(tested), [r.asDict() for r in found_importance.collect()]
 
 
 __all__ = ["Bundle", "Preparation", "fit", "importance", "load_bundle", "train"]

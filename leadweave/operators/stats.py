@@ -1,6 +1,6 @@
 """Splits in time, quantile bins, drift, and metrics of probabilities.
 
-Global ranks and cumulative sums run over counts by minute or by score, not over rows, so that no step sorts all rows in one task.
+Ranks in time run over counts by minute; running sums over scores and quantiles go by ranges (ranges.py), so that no step has all rows, or all distinct values, in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import drift_status, rint, rnd
+from .ranges import RANGE_ROWS, quantiles, range_of, running_sums
 
 PSI_FLOOR = 1e-6
 
@@ -39,76 +40,93 @@ def reference_split(df: DataFrame, share: float = 0.70) -> DataFrame:
     return chrono_split(df, (("reference", share),), "comparison").withColumn("is_ref", F.col("split") == "reference").drop("split")
 
 
-def decile_edges(df: DataFrame, value: str, inner_only: bool) -> DataFrame:
-    """One row (edges): distinct deciles of a column, without the ends if inner_only."""
-    points = [k / 10 for k in (range(1, 10) if inner_only else range(11))]
-    return df.agg(F.array_distinct(F.array_sort(F.percentile(value, F.array(*[F.lit(p) for p in points])))).alias("edges"))
+DECILES = [k / 10 for k in range(11)]
+
+
+def _inner(edges: list) -> list:
+    """Distinct edges without the ends."""
+    return sorted({e for e in edges if e is not None})[1:-1]
+
+
+def decile_edges(df: DataFrame, value: str) -> DataFrame:
+    """(edge): the distinct deciles of a column, the ends included."""
+    edges = quantiles(df, [value], DECILES)[value]
+    return df.sparkSession.createDataFrame([(e,) for e in sorted({e for e in edges if e is not None})], "edge double")
 
 
 def qcut(df: DataFrame, value: str = "p", name: str = "decile") -> DataFrame:
     """df with the decile (1..) of a value: right-closed bins between distinct deciles, empty ones numbered too."""
-    inner = decile_edges(df, value, inner_only=False).select(F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0))).alias("_edges"))
-    bin_of = F.size(F.filter("_edges", lambda e: e < F.col(value))) + 1
-    return df.crossJoin(F.broadcast(inner)).withColumn(name, bin_of.cast("int")).drop("_edges")
+    inner = _inner(quantiles(df, [value], DECILES)[value])
+    return df.withColumn(name, (range_of(F.col(value).cast("double"), inner, strict=True) + 1).cast("int"))
 
 
 def histogram_bins(df: DataFrame, value: str, reference: Column) -> DataFrame:
     """df's non-null values with bin: left-closed bins between the deciles of the reference rows, open ends."""
-    rows = df.where(F.col(value).isNotNull())
-    edges = decile_edges(rows.where(reference), value, inner_only=False).select("edges", F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0))).alias("_inner"))
-    return rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_inner", lambda e: F.col(value) >= e))).withColumn("n_edges", F.size("edges")).drop("edges", "_inner")
-
-
-def _psi(counts: DataFrame, enough: Column) -> DataFrame:
-    """(psi) from (key, er, ar): 0.0 if a side is empty or the bins aren't enough."""
-    w = Window.partitionBy()
-    shares = counts.select("*", F.sum("er").over(w).alias("en"), F.sum("ar").over(w).alias("an"))
+    inner = _inner(quantiles(df.where(reference), [value], DECILES)[value])
+    return df.where(F.col(value).isNotNull()).withColumn("bin", range_of(F.col(value).cast("double"), inner))
+
+
+def side_counts(df: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...]) -> DataFrame:
+    """(feature, key, er, ar): the rows with and without is_ref of each bin or category of each feature, in one pass over df.
+
+    Numbers are binned by the deciles of the rows with is_ref, null and NaN left out; null is a category of the others. A
+    number with fewer than three distinct deciles has no rows.
+    """
+    edges, parts = quantiles(df.where("is_ref"), list(numeric), DECILES) if numeric else {}, []
+    for c in numeric:
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        enough = len({e for e in edges[c] if e is not None}) >= 3
+        key = F.when(x.isNotNull(), range_of(x, _inner(edges[c])).cast("string")) if enough else F.lit(None).cast("string")
+        parts.append(F.struct(F.lit(c).alias("feature"), key.alias("key")))
+    parts += [F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("None")).alias("key")) for c in categorical]
+    long = df.select("is_ref", F.explode(F.array(*parts)).alias("x")).select("is_ref", "x.*").where("key is not null")
+    side = lambda c: F.sum(c.cast("int"))
+    return long.groupBy("feature", "key").agg(side(F.col("is_ref")).alias("er"), side(~F.col("is_ref")).alias("ar"))
+
+
+def psi(df: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...]) -> DataFrame:
+    """(feature, feature_type, psi): population stability between the rows with and without is_ref; 0.0 if a side is empty or a number has too few deciles."""
+    own = Window.partitionBy("feature")  # bins and categories, not rows
+    shares = side_counts(df, numeric, categorical).select("*", F.sum("er").over(own).alias("en"), F.sum("ar").over(own).alias("an")).where("en > 0 and an > 0")
     e, a = F.greatest(F.col("er") / F.col("en"), F.lit(PSI_FLOOR)), F.greatest(F.col("ar") / F.col("an"), F.lit(PSI_FLOOR))
-    total = F.sum(F.when((F.col("en") > 0) & (F.col("an") > 0) & enough, (a - e) * F.log(a / e)).otherwise(F.lit(0.0)))
-    return shares.agg(F.coalesce(total, F.lit(0.0)).alias("psi"))
-
-
-def _sides(rows: DataFrame, key: str, *more: Column) -> DataFrame:
-    return rows.groupBy(key).agg(F.sum(F.col("is_ref").cast("int")).alias("er"), F.sum((~F.col("is_ref")).cast("int")).alias("ar"), *more)
+    moved = shares.groupBy("feature").agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
+    names = df.sparkSession.createDataFrame([(c, "numeric") for c in numeric] + [(c, "categorical") for c in categorical], "feature string, feature_type string")
+    return F.broadcast(names).join(moved, "feature", "left").select("feature", "feature_type", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
 def psi_numeric(df: DataFrame, value: str) -> DataFrame:
-    """Population stability of a number between the rows with and without is_ref, over the reference's deciles."""
-    rows = histogram_bins(df.select("is_ref", F.col(value).cast("double").alias("v")), "v", F.col("is_ref"))
-    return _psi(_sides(rows, "bin", F.max("n_edges").alias("n_edges")), F.col("n_edges") >= 3)
+    """(psi) of a number."""
+    return psi(df, (value,), ()).select("psi")
 
 
 def psi_categorical(df: DataFrame, value: str) -> DataFrame:
-    """The same over the categories of either side; null is a category."""
-    rows = df.select("is_ref", F.coalesce(F.col(value).cast("string"), F.lit("None")).alias("v"))
-    return _psi(_sides(rows, "v"), F.lit(True))
+    """(psi) of a category."""
+    return psi(df, (), (value,)).select("psi")
 
 
 def drift(df: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...]) -> DataFrame:
     """(feature, feature_type, psi, status) of each feature; the status judges the unrounded value."""
-    out = None
-    for kind, names, f in (("numeric", numeric, psi_numeric), ("categorical", categorical, psi_categorical)):
-        for name in names:
-            one = f(df, name).select(F.lit(name).alias("feature"), F.lit(kind).alias("feature_type"), rnd(F.col("psi"), 6).alias("psi"), drift_status(F.col("psi")).alias("status"))
-            out = one if out is None else out.union(one)
-    return out
+    return psi(df, numeric, categorical).select("feature", "feature_type", rnd(F.col("psi"), 6).alias("psi"), drift_status(F.col("psi")).alias("status"))
 
 
-def by_score(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """(p, tp, n): label and row counts of each score, what ranks are made of."""
-    return scored.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("bigint")).alias("tp"), F.count(F.lit(1)).alias("n"))
+def by_score(scored: DataFrame, p: str = "p", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, p, tp, n): label and row counts of each score, what ranks are made of."""
+    return scored.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("p")).agg(F.sum(F.col(y).cast("bigint")).alias("tp"), F.count(F.lit(1)).alias("n"))
 
 
-def ranking_metrics(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """(roc_auc, average_precision), aware of ties; null if a label is missing."""
-    down, every = Window.orderBy(F.col("p").desc()), Window.partitionBy()
-    c = by_score(scored, p, y).select(
-        "p", "tp", (F.col("n") - F.col("tp")).alias("fp"), F.sum("tp").over(down).alias("ctp"), F.sum("n").over(down).alias("cn"), F.sum("tp").over(every).alias("np"), F.sum(F.col("n") - F.col("tp")).over(every).alias("nn")
-    )
-    below = F.col("nn") - (F.col("cn") - F.col("ctp"))
-    auc = F.sum(F.col("tp") * (below + F.lit(0.5) * F.col("fp"))) / F.nullif(F.max("np") * F.max("nn"), F.lit(0))
-    ap = F.sum(F.try_divide(F.col("tp"), F.col("np")) * (F.col("ctp") / F.col("cn")))
-    return c.agg(rnd(auc, 6).alias("roc_auc"), rnd(ap, 6).alias("average_precision"))
+def ranking_metrics(scored: DataFrame, p: str = "p", y: str = "y", by: tuple[str, ...] = (), digits: int | None = 6, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(*by, roc_auc, average_precision), aware of ties; null if a label is missing. digits None: not rounded.
+
+    Counts above a score are running sums by ranges of scores, so that no task sees all of them; pairs are counted in integers.
+    """
+    c = running_sums(by_score(scored, p, y, by).withColumn("down", -F.col("p")), "down", ["tp", "n"], list(by), range_rows)
+    whole = lambda x: x.cast("decimal(19,0)")
+    fp, above = F.col("n") - F.col("tp"), 2 * F.col("tp_before") + F.col("tp")  # twice the positives above, as a tie counts half
+    auc = F.sum(whole(fp) * whole(above)).cast("double") / F.nullif(2.0 * F.sum("tp").cast("double") * F.sum(fp).cast("double"), F.lit(0.0))
+    precision = (F.col("tp_before") + F.col("tp")) / (F.col("n_before") + F.col("n"))
+    ap = F.sum(F.col("tp") * precision) / F.nullif(F.sum("tp"), F.lit(0))
+    kept = (lambda x: x) if digits is None else (lambda x: rnd(x, digits))
+    return c.groupBy(*by).agg(kept(auc).alias("roc_auc"), kept(ap).alias("average_precision"))
 
 
 def threshold_metrics(scored: DataFrame, threshold: float, p: str = "p", y: str = "y") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fx
-from ..config import CATEGORICAL, NUMERIC, Outcome
+from ..config import CATEGORICAL, FEATURES, NUMERIC, Outcome
 from ..operators import contracts, facts, marts, ml, scoring, stats
 from ..sources import events_of_lines, leads_of_orders, load
 from .build import top_candidates
@@ -221,13 +221,13 @@ QCUT = f"e AS ({INNER.format(c='p', t='test')}), q AS (SELECT test.*, CAST((SELE
 add("qcut_decile", lambda s, d: stats.qcut(test_rows(s, d)).select("lead_id", "decile"), f", {QCUT} SELECT lead_id, decile FROM q")
 add("calibration_table", lambda s, d: stats.calibration(test_rows(s, d)), f", {QCUT} SELECT CAST(DENSE_RANK() OVER (ORDER BY decile) AS INTEGER) AS decile, ROUND_EVEN(AVG(p), 6) AS mean_predicted, ROUND_EVEN(AVG(y), 6) AS observed_rate, COUNT(*) AS leads FROM q GROUP BY q.decile")
 HIST = "e AS (" + INNER.format(c="estimated_value", t="split WHERE is_ref") + "), h AS (SELECT split.*, CAST((SELECT COUNT(*) FROM (SELECT UNNEST(e[2 : len(e) - 1]) AS x FROM e) WHERE split.estimated_value >= x) AS INTEGER) AS bin FROM split)"
-add("np_quantile_edges", lambda s, d: stats.decile_edges(reference_of(s, d).where("is_ref"), "estimated_value", False).select(F.explode("edges").alias("edge")).select(fx.rnd(F.col("edge"), 4).alias("edge")), ", e AS (" + INNER.format(c="estimated_value", t="split WHERE is_ref") + ") SELECT ROUND(UNNEST(e), 4) AS edge FROM e")
+add("np_quantile_edges", lambda s, d: stats.decile_edges(reference_of(s, d).where("is_ref"), "estimated_value").select(fx.rnd(F.col("edge"), 4).alias("edge")), ", e AS (" + INNER.format(c="estimated_value", t="split WHERE is_ref") + ") SELECT ROUND(UNNEST(e), 4) AS edge FROM e")
 add("np_histogram", lambda s, d: stats.histogram_bins(reference_of(s, d), "estimated_value", F.col("is_ref")).groupBy("bin", "is_ref").agg(F.count(F.lit(1)).alias("n")), f", {HIST} SELECT bin, is_ref, COUNT(*) AS n FROM h GROUP BY 1, 2")
 add("psi_numeric", lambda s, d: stats.psi_numeric(reference_of(s, d), "estimated_value").select(fx.rnd(F.col("psi"), 6).alias("psi")), f""", {HIST}, c AS (SELECT bin, COUNT(*) FILTER (WHERE is_ref) AS er, COUNT(*) FILTER (WHERE NOT is_ref) AS ar FROM h GROUP BY bin),
   r AS (SELECT GREATEST(er / SUM(er) OVER (), 1e-6) AS er, GREATEST(ar / SUM(ar) OVER (), 1e-6) AS ar FROM c) SELECT ROUND(SUM((ar - er) * LN(ar / er)), 6) AS psi FROM r""")
 CATS = "c AS (SELECT {f} AS v, COUNT(*) FILTER (WHERE is_ref) AS er, COUNT(*) FILTER (WHERE NOT is_ref) AS ar FROM split GROUP BY 1), r AS (SELECT GREATEST(er / SUM(er) OVER (), 1e-6) AS er, GREATEST(ar / SUM(ar) OVER (), 1e-6) AS ar FROM c)"
 add("psi_categorical", lambda s, d: stats.psi_categorical(reference_of(s, d), "channel").select(fx.rnd(F.col("psi"), 6).alias("psi")), f", {CATS.format(f='channel')} SELECT ROUND(SUM((ar - er) * LN(ar / er)), 6) AS psi FROM r")
-add("cat_full_outer", lambda s, d: stats._sides(reference_of(s, d).withColumnRenamed("region", "v"), "v"), ", c AS (SELECT region AS v, COUNT(*) FILTER (WHERE is_ref) AS er, COUNT(*) FILTER (WHERE NOT is_ref) AS ar FROM split GROUP BY 1) SELECT * FROM c")
+add("cat_full_outer", lambda s, d: stats.side_counts(reference_of(s, d), (), ("region",)).select(F.col("key").alias("v"), "er", "ar"), ", c AS (SELECT region AS v, COUNT(*) FILTER (WHERE is_ref) AS er, COUNT(*) FILTER (WHERE NOT is_ref) AS ar FROM split GROUP BY 1) SELECT * FROM c")
 STATUS = "CASE WHEN psi >= 0.20 THEN 'review' WHEN psi >= 0.10 THEN 'watch' ELSE 'stable' END AS status"
 _SIDES = "COUNT(*) FILTER (WHERE is_ref) AS er, COUNT(*) FILTER (WHERE NOT is_ref) AS ar"
 _SHARES = "SELECT GREATEST(er / SUM(er) OVER (), 1e-6) AS er, GREATEST(ar / SUM(ar) OVER (), 1e-6) AS ar"
@@ -260,6 +260,20 @@ RANKS = """, g AS (SELECT p, CAST(SUM(y) AS DOUBLE) AS tp, COUNT(*) AS n FROM te
 add("roc_auc", lambda s, d: stats.ranking_metrics(test_rows(s, d)).select("roc_auc"), RANKS + " SELECT ROUND(SUM(tp * (below + 0.5 * fp)) / (MAX(np) * MAX(nn)), 6) AS roc_auc FROM c")
 add("dash_summary", lambda s, d: marts.matured_summary(f := fct_of(s, d)).crossJoin(marts.recent_candidates(f, CONFIG).agg(F.count(F.lit(1)).cast("int").alias("open_candidates"))).crossJoin(stats.ranking_metrics(test_rows(s, d)).select(F.col("roc_auc").alias("test_roc_auc"))).crossJoin(drift_of(s, d).agg(F.max("psi").alias("maximum_psi"))),
     f"{RANKS}, {DRIFT.removeprefix(', ')} SELECT *, (SELECT CAST(COUNT(*) AS INTEGER) FROM fct WHERE {OPEN}) AS open_candidates, (SELECT ROUND(SUM(tp * (below + 0.5 * fp)) / (MAX(np) * MAX(nn)), 6) FROM c) AS test_roc_auc, (SELECT MAX(psi) FROM drift) AS maximum_psi FROM ({SUMMARY})")
+
+_LOGIT = """-0.9::DOUBLE + CASE WHEN consent_to_contact THEN 0.7::DOUBLE ELSE -0.6::DOUBLE END + CASE WHEN is_returning THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
+  - 0.0015::DOUBLE * response_minutes + 0.15::DOUBLE * follow_up_count + 0.02::DOUBLE * created_hour"""
+
+
+def test_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 15% with the fixed score before its exponential, not rounded."""
+    rows = stats.chrono_split(training_of(spark, sf_dir)).where("split = 'test'")
+    z = scoring.fixed_logit(*[F.col(c) for c in ("response_minutes", "follow_up_count", "consent_to_contact", "is_returning", "created_hour")])
+    return rows.select("lead_id", z.alias("p"), F.col("target_booked").alias("y"))
+
+
+add("ranking_unrounded", lambda s, d: stats.ranking_metrics(test_logits(s, d), digits=None, range_rows=500).select("roc_auc", fx.rnd(F.col("average_precision"), 10).alias("average_precision")),
+    RANKS.replace("FROM test", f"FROM (SELECT {_LOGIT} AS p, target_booked AS y FROM split WHERE split = 'test')") + " SELECT SUM(tp * (2 * below + fp)) / (2 * MAX(np) * MAX(nn)) AS roc_auc, ROUND(SUM(tp / np * (ctp / cn)), 10) AS average_precision FROM c")
 add("average_precision", lambda s, d: stats.ranking_metrics(test_rows(s, d)).select("average_precision"), RANKS + " SELECT ROUND(SUM(tp / np * (ctp / cn)), 6) AS average_precision FROM c")
 COUNTS = ", m AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE p >= 0.3 AND y = 1) AS tp, COUNT(*) FILTER (WHERE p >= 0.3 AND y = 0) AS fp, COUNT(*) FILTER (WHERE p < 0.3 AND y = 1) AS fn, AVG(POW(p - y, 2)) AS b FROM test)"
 for _metric, _sql in {
@@ -294,6 +308,28 @@ add("counterfactual", lambda s, d: scores_of(s, d).select("lead_id", F.explode("
 ) + ") SELECT lead_id, factor, ROUND_EVEN(delta, 4) AS probability_delta FROM w WHERE ABS(delta) >= 0.005")
 add("dash_candidates", lambda s, d: top_candidates(scores_of(s, d)), f", {RULES} SELECT lead_id, channel, service_type, ROUND(booking_probability, 4) AS booking_probability, ROUND(priority_score, 2) AS priority_score, recommended_action, ROUND(response_minutes, 1) AS response_minutes, ROUND(estimated_value, 2) AS estimated_value FROM s ORDER BY priority_score DESC, lead_id LIMIT 12")
 
+# Importance of the fixed score's features: each takes the next row's value along a cycle by md5.
+IMPORTANCE_SEED, IMPORTANCE_REPEATS, IMPORTANCE_BUCKET = 7, 3, 500
+
+
+def importance_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stats.chrono_split(training_of(spark, sf_dir)).where("split = 'test'").drop("split")
+    scorer = lambda df, name: scoring.fixed_scorer(df, "_z").withColumn(name, fx.rnd(F.col("_z"), 6)).drop("_z")
+    return ml.importance(rows, scorer, IMPORTANCE_SEED, IMPORTANCE_REPEATS, bucket_rows=IMPORTANCE_BUCKET)
+
+
+_DEALT = ", ".join(f"CASE WHEN feature = '{c}' THEN COALESCE(LEAD({c}) OVER w, FIRST_VALUE({c}) OVER w) ELSE {c} END AS {c}" for c in FEATURES)
+_SCENARIOS = ", ".join(f"('{c}', {r})" for c, r in [("", 0), *((c, r) for c in FEATURES for r in range(1, IMPORTANCE_REPEATS + 1))])
+IMPORTANCE = f""", b AS (SELECT *, CAST('0x' || md5(lead_id || ':{IMPORTANCE_SEED}')[1:8] AS BIGINT) % (SELECT GREATEST(1, COUNT(*) // {IMPORTANCE_BUCKET}) FROM split WHERE split = 'test') AS bucket FROM split WHERE split = 'test'),
+  s AS (SELECT b.*, feature, repeat FROM b CROSS JOIN (VALUES {_SCENARIOS}) v(feature, repeat)),
+  d AS (SELECT feature, repeat, target_booked, {_DEALT} FROM s WINDOW w AS (PARTITION BY feature, repeat, bucket ORDER BY md5(lead_id || ':{IMPORTANCE_SEED}:' || feature || ':' || repeat), lead_id)),
+  g AS (SELECT feature, repeat, ROUND(1 / (1 + EXP(-({_LOGIT}))), 6) AS p, SUM(target_booked) AS tp, COUNT(*) AS n FROM d GROUP BY 1, 2, 3),
+  c AS (SELECT *, n - tp AS fp, SUM(n - tp) OVER (PARTITION BY feature, repeat ORDER BY p) - (n - tp) AS below FROM g),
+  a AS (SELECT feature, repeat, CAST(SUM(tp * (2 * below + fp)) AS DOUBLE) / (2.0::DOUBLE * SUM(tp) * SUM(fp)) AS auc FROM c GROUP BY 1, 2)
+  SELECT feature, ROUND_EVEN(AVG(x), 6) AS importance_mean, ROUND_EVEN(STDDEV_POP(x), 6) AS importance_std FROM (SELECT feature, (SELECT auc FROM a WHERE feature = '') - auc AS x FROM a WHERE feature <> '') GROUP BY feature"""
+add("permutation_importance", importance_of, IMPORTANCE)
+add("dash_importance", lambda s, d: importance_of(s, d).orderBy(F.col("importance_mean").desc(), "feature").limit(8), f"{IMPORTANCE} ORDER BY importance_mean DESC, feature LIMIT 8")
+
 # Preparation: what the models learn of the training rows.
 _TRAIN = "FROM split WHERE split = 'train'"
 

@@ -122,6 +122,80 @@ def test_ranking_metrics_with_ties(spark):
     assert row.roc_auc == pytest.approx(pairs, abs=1e-6) and row.average_precision == pytest.approx(ap, abs=1e-6)
 
 
+def test_ranking_metrics_by_group_and_range(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(p), int(rng.random() < p)) for g in ("a", "b", None) for p in rng.integers(0, 900, 2000) / 900]
+    df = spark.createDataFrame(rows, "g string, p double, y int")
+    whole = {r.g: (r.roc_auc, r.average_precision) for r in stats.ranking_metrics(df, by=("g",), digits=None).collect()}
+    ranged = {r.g: (r.roc_auc, r.average_precision) for r in stats.ranking_metrics(df, by=("g",), digits=None, range_rows=100).collect()}
+    for g in ("a", "b", None):
+        p, y = (np.array([r[k] for r in rows if r[0] == g]) for k in (1, 2))
+        pairs = (p[y == 1][:, None] > p[y == 0][None, :]).mean() + 0.5 * (p[y == 1][:, None] == p[y == 0][None, :]).mean()
+        assert whole[g][0] == ranged[g][0] == pytest.approx(pairs, abs=1e-12) and whole[g][1] == pytest.approx(ranged[g][1], abs=1e-12)
+    assert tuple(stats.ranking_metrics(df.where("false")).first()) == (None, None) and tuple(stats.ranking_metrics(df.where("y = 1")).first()) == (None, 1.0)
+
+
+def test_running_sums_see_no_more_than_a_range(spark):
+    from leadweave.operators import ranges
+
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000 / 7.0).alias("k"), (F.col("id") % 5).alias("n"))
+    points = ranges.cut_points(df, "k", 1000)
+    assert 15 <= len(points) <= 20
+    got = ranges.running_sums(df, "k", ["n"], range_rows=1000)
+    assert "SinglePartition" not in got.where("n_before >= 0")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    rows = got.orderBy("k").collect()
+    before = np.concatenate([[0], np.cumsum([r.n for r in rows])[:-1]])
+    assert [r.n_before for r in rows] == before.tolist()
+    sizes = df.groupBy(ranges.range_of(F.col("k"), points).alias("r")).count().collect()
+    assert max(r["count"] for r in sizes) < 2000
+
+
+@pytest.mark.parametrize(("few", "accuracy"), [(10_000, 10_000), (60, 100), (5, 30)])
+def test_quantiles_are_exact_in_bounded_state(spark, monkeypatch, few, accuracy):
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    from leadweave.operators import ranges
+
+    rng = np.random.default_rng(6)
+    columns = {"a": rng.normal(size=6000), "b": rng.integers(0, 7, 6000).astype(float), "c": np.exp(80 * rng.normal(size=6000)), "d": np.where(rng.random(6000) < 0.6, 1.5, rng.random(6000))}
+    columns["a"][::7] = np.nan
+    df = spark.createDataFrame([tuple(None if k % 11 == 0 and c == 0 else float(v[k]) for c, v in enumerate(columns.values())) for k in range(6000)], "a double, b double, c double, d double")
+    columns["a"][::11] = np.nan
+    shares, taken, collect = [0.0, 0.1, 0.333, 0.5, 0.9, 1.0], [], Frame.collect
+    monkeypatch.setattr(Frame, "collect", lambda self: taken.append(collect(self)) or taken[-1])
+    got = ranges.quantiles(df, list(columns), shares, few, accuracy)
+    for c, v in columns.items():
+        np.testing.assert_allclose(got[c], np.quantile(v[~np.isnan(v)], shares), rtol=1e-12)
+    if few < 100:
+        aims = 4 * 2 * len(shares)
+        assert max(map(len, taken)) <= max(aims * few, 4 * (4 * aims + 1))
+    assert ranges.quantiles(df.where("false"), ["a"], [0.5]) == {"a": [None]} and ranges.quantiles(df.where("d is null"), ["d"], [0.5]) == {"d": [None]}
+
+
+def test_drift_scans_its_rows_once(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    spark.createDataFrame([(k < 700, float(rng.normal()), float(rng.integers(0, 4)), "abc"[k % 3] if k % 5 else None) for k in range(1000)], "is_ref boolean, x double, z double, c string").write.parquet(str(tmp_path / "t"))
+    out = stats.drift(spark.read.parquet(str(tmp_path / "t")), ("x", "z"), ("c",))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and {r.feature for r in out.collect()} == {"x", "z", "c"}
+
+
+def test_importance_of_features_that_count(spark):
+    from leadweave.operators import ml
+
+    rng = np.random.default_rng(8)
+    names = [x.split()[0] for x in LEADS.split(", ")]
+    rows = [lead(lead_id=f"{k}", response_minutes=float(rng.integers(0, 1440)), is_returning=bool(k % 2)) for k in range(600)]
+    df = spark.createDataFrame([(*r, "monday", 9, int(rng.random() < (0.9 - r[names.index("response_minutes")] / 1800))) for r in rows], LEADS + ", created_weekday string, created_hour int, target_booked int")
+    dealt = ml.permuted(df, 3, repeats=2, bucket_rows=100)
+    assert dealt.count() == 600 * 23 and dealt.where("feature = ''").drop("feature", "repeat").exceptAll(df).isEmpty()
+    one = dealt.where("feature = 'response_minutes' and repeat = 2")
+    assert sorted(r[0] for r in one.select("response_minutes").collect()) == sorted(r[0] for r in df.select("response_minutes").collect())
+    assert one.join(df.select("lead_id", F.col("response_minutes").alias("was")), "lead_id").where("was = response_minutes").count() < 30
+    found = {r.feature: r for r in ml.importance(df, scoring.fixed_scorer, 3, repeats=2, bucket_rows=100).collect()}
+    assert found["response_minutes"].importance_mean > 0.1 and found["channel"].importance_mean == 0.0 and len(found) == 11
+
+
 def test_metrics_without_positives_are_zero(spark):
     row = stats.threshold_metrics(spark.createDataFrame([(0.1, 0), (0.2, 0)], "p double, y int"), 0.5).first()
     assert (row.precision, row.recall, row.f1) == (0.0, 0.0, 0.0)
