@@ -7,22 +7,23 @@ from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import BOOLEAN, CATEGORICAL, FEATURES, NUMERIC, TARGET
 from ..functions import rint
+from . import boosting
 from .ranges import quantiles
 from .scoring import Scorer
 from .stats import best_threshold, calibration, chrono_split, metrics, naive, ranking_metrics
 
 LEAST_ROWS, REPEATS = 500, 8
-#: Boosting: rounds, rate and depth; trees of this depth have up to 16 leaves.
-ROUNDS, RATE, DEPTH = 180, 0.06, 4
-CLASSES = {"logistic_regression": LogisticRegressionModel, "gradient_boosting": GBTClassificationModel}
+ROUNDS = boosting.ROUNDS
+CANDIDATES = ("logistic_regression", "hist_gradient_boosting")
 
 
 @dataclass
@@ -46,8 +47,12 @@ class Preparation:
         mode = {c: min(rows, key=lambda r: (-r["count"], r.v)).v if rows else None for c, rows in counts.items()}
         return cls(median, {c: float(second[f"{c}_m"] or 0.0) for c in NUMERIC}, {c: float(second[f"{c}_d"] or 0.0) or 1.0 for c in NUMERIC}, mode, {c: sorted(r.v for r in rows) for c, rows in counts.items()}, scale)
 
-    def add(self, df: DataFrame) -> DataFrame:
-        """df with _features; categories that weren't seen have no column set."""
+    def names(self) -> list[str]:
+        """The prepared columns in order: numbers, categories as feature=value, booleans."""
+        return [*NUMERIC, *(f"{c}={v}" for c in CATEGORICAL for v in self.categories[c]), *BOOLEAN]
+
+    def columns(self) -> list[Column]:
+        """The prepared columns; categories that weren't seen have none set."""
         parts = []
         for c in NUMERIC:
             x = F.coalesce(F.col(c).cast("double"), F.lit(self.median[c]))
@@ -55,8 +60,7 @@ class Preparation:
         for c in CATEGORICAL:
             value = F.coalesce(F.col(c).cast("string"), F.lit(self.mode[c]))
             parts += [F.coalesce((value == v).cast("double"), F.lit(0.0)) for v in self.categories[c]]
-        parts += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in BOOLEAN]
-        return df.withColumn("_features", array_to_vector(F.array(*parts)))
+        return parts + [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in BOOLEAN]
 
 
 @dataclass
@@ -73,15 +77,15 @@ class Bundle:
     model_version: str = "0.1.0"
 
     def scorer(self, df: DataFrame, name: str) -> DataFrame:
-        made = self.model.transform(self.preparation.add(df))
-        return made.withColumn(name, vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
+        """df with the probability of a booking."""
+        return df.withColumn(name, probability(self.preparation, self.model))
 
     def metadata(self) -> dict[str, Any]:
         return {"feature_columns": list(FEATURES), **{k: getattr(self, k) for k in ("model_name", "threshold", "trained_at", "training_rows", "as_of_date", "model_version")}}
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        side = self.metadata() | {"preparation": asdict(self.preparation)}
+        own = self.model.document() if isinstance(self.model, boosting.Boosted) else {"coefficients": self.model.coefficients.tolist(), "intercept": self.model.intercept}
+        side = self.metadata() | {"preparation": asdict(self.preparation), "model": own}
         spark.createDataFrame([(json.dumps(side),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/bundle")
 
 
@@ -91,30 +95,65 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         raise FileNotFoundError(f"No model bundle at {path}; build one first")
     side = json.loads(spark.read.text(f"{path}/bundle").first().value)
-    if side.get("model_name") not in CLASSES or "preparation" not in side:
+    if side.get("model_name") not in CANDIDATES or not {"preparation", "model"} <= set(side):
         raise TypeError(f"Not a model bundle: {path}")
-    model = CLASSES[side["model_name"]].load(f"{path}/model")
+    model = boosting.Boosted.of(side["model"]) if side["model_name"] == "hist_gradient_boosting" else Logistic(np.array(side["model"]["coefficients"]), side["model"]["intercept"])
     return Bundle(Preparation(**side["preparation"]), model, side["model_name"], side["threshold"], side["trained_at"], side["training_rows"], side["as_of_date"], side["model_version"])
 
 
-def fit(name: str, df: DataFrame, seed: int, rounds: int = ROUNDS) -> tuple[Preparation, Any]:
+@dataclass
+class Logistic:
+    """Coefficients of the prepared columns, and the intercept."""
+
+    coefficients: np.ndarray
+    intercept: float
+
+    def probability(self, columns: list[Column]) -> Column:
+        z = sum((c * float(w) for c, w in zip(columns, self.coefficients, strict=True)), F.lit(float(self.intercept)))
+        return 1 / (1 + F.exp(-z))
+
+
+def probability(preparation: Preparation, model: Logistic | boosting.Boosted) -> Column:
+    """The probability of a booking from the columns of the features."""
+    columns = preparation.columns()
+    return model.probability(columns) if isinstance(model, Logistic) else model.probability(F.array(*columns))
+
+
+def fit(name: str, df: DataFrame, rounds: int = ROUNDS) -> tuple[Preparation, Logistic | boosting.Boosted]:
     """A candidate on df. The logistic one has the optimum of an L2 penalty with inverse strength 1 on standardised numbers."""
     preparation = Preparation.learn(df, scale=name == "logistic_regression")
-    rows = preparation.add(df).select("_features", F.col(TARGET).cast("double").alias("_y")).cache()
+    rows = df.select(F.array(*preparation.columns()).alias("x"), F.col(TARGET).cast("double").alias("y")).cache()
     n = rows.count()
     if name == "logistic_regression":
-        model = LogisticRegression(featuresCol="_features", labelCol="_y", maxIter=1000, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
+        how = LogisticRegression(featuresCol="v", labelCol="y", maxIter=1000, tol=1e-12, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
+        found = how.fit(rows.select(array_to_vector("x").alias("v"), "y"))
+        model = Logistic(found.coefficients.toArray(), found.intercept)
     else:
-        model = GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=rounds, stepSize=RATE, maxDepth=DEPTH, seed=seed)
-    fitted = model.fit(rows)
+        model = boosting.fit(rows, "x", "y", len(preparation.names()), rounds)
     rows.unpersist()
-    return preparation, fitted
+    return preparation, model
+
+
+def penalised_gradient(preparation: Preparation, model: Logistic, df: DataFrame) -> DataFrame:
+    """(column, gradient): the mean gradient of the penalised log loss over df at the model's coefficients, a row for each prepared column and the intercept.
+
+    At the optimum all are zero, which a table of any size shows in one pass, whatever made the coefficients.
+    """
+    columns, w = preparation.columns(), [*model.coefficients.tolist(), 0.0]
+    residual = model.probability(columns) - F.col(TARGET).cast("double")
+    sums = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(residual * c).alias(f"s{k}") for k, c in enumerate([*columns, F.lit(1.0)])])
+    each = [F.struct(F.lit(name).alias("column"), ((F.col(f"s{k}") + w[k]) / F.col("n")).alias("gradient")) for k, name in enumerate([*preparation.names(), "intercept"])]
+    return sums.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+def best_candidate(found: DataFrame) -> DataFrame:
+    """Of (name, roc_auc, brier_score) the row of the highest ROC AUC, then the lowest Brier score, then the first name."""
+    return found.orderBy(F.col("roc_auc").desc_nulls_last(), F.col("brier_score").asc_nulls_last(), "name").limit(1)
 
 
-def scored(preparation: Preparation, model: Any, df: DataFrame) -> DataFrame:
+def scored(preparation: Preparation, model: Logistic | boosting.Boosted, df: DataFrame) -> DataFrame:
     """df with p and y."""
-    made = model.transform(preparation.add(df)).withColumn("p", vector_to_array("probability")[1])
-    return made.select(*df.columns, "p", F.col(TARGET).cast("double").alias("y"))
+    return df.select(*df.columns, probability(preparation, model).alias("p"), F.col(TARGET).cast("double").alias("y"))
 
 
 def permuted(test: DataFrame, seed: int, repeats: int = REPEATS, bucket_rows: int = 10_000) -> DataFrame:
@@ -163,23 +202,26 @@ def train(training: DataFrame, seed: int, as_of_date: str, rounds: int = ROUNDS,
         raise ValueError(f"At least {LEAST_ROWS} matured leads are needed, there are {total}")
     part = {name: rows.where(F.col("split") == name).drop("split") for name in ("train", "validation", "test")}
     fitted, found, thresholds = {}, {}, {}
-    for name in CLASSES:
-        fitted[name] = fit(name, part["train"], seed, rounds)
+    for name in CANDIDATES:
+        fitted[name] = fit(name, part["train"], rounds)
         judged = scored(*fitted[name], part["validation"]).cache()
         thresholds[name] = round(best_threshold(judged).first().threshold, 2)
         found[name] = metrics(judged, thresholds[name]).first().asDict()
         judged.unpersist()
-    best = max(found, key=lambda n: (found[n]["roc_auc"], -found[n]["brier_score"]))
+    judged = [(n, found[n]["roc_auc"], found[n]["brier_score"]) for n in CANDIDATES]
+    best = best_candidate(training.sparkSession.createDataFrame(judged, "name string, roc_auc double, brier_score double")).first().name
     tested = scored(*fitted[best], part["test"])
     own = metrics(tested, thresholds[best]).first().asDict()
     plain = metrics(naive(tested, part["train"].select(F.col(TARGET).alias("y"))), 0.5).first().asDict()
     dates = part["test"].agg(F.min("created_at"), F.max("created_at")).first()
     development = part["train"].union(part["validation"])
     now = datetime.now(UTC).isoformat()
-    bundle = Bundle(*fit(best, development, seed, rounds), best, thresholds[best], now, sizes["train"] + sizes["validation"], as_of_date)
+    bundle = Bundle(*fit(best, development, rounds), best, thresholds[best], now, sizes["train"] + sizes["validation"], as_of_date)
     document = {
         "generated_at": now,
         "as_of_date": as_of_date,
+        "prediction_point": "24 hours after a lead was made",
+        "outcome": "a consultation booked within 14 days",
         "split_strategy": "chronological 70% train / 15% validation / 15% test",
         "rows": {"total_matured": total, **sizes, "deployment_train": bundle.training_rows},
         "candidate_validation_metrics": found,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fx
-from ..config import CATEGORICAL, FEATURES, NUMERIC, Outcome
+from ..config import BOOLEAN, CATEGORICAL, FEATURES, NUMERIC, Outcome
 from ..operators import contracts, facts, marts, ml, scoring, stats
 from ..sources import events_of_lines, leads_of_orders, load
 from .build import top_candidates
@@ -355,3 +355,49 @@ add("prep_numeric", prepared_numbers, " UNION ALL ".join(
     (" " if k == 0 else "") + f"SELECT '{c}' AS feature, ROUND(MEDIAN(CAST({c} AS DOUBLE)), 4) AS median, ROUND(AVG(CAST({c} AS DOUBLE)), 4) AS mean, ROUND(STDDEV_POP(CAST({c} AS DOUBLE)), 4) AS deviation {_TRAIN}" for k, c in enumerate(NUMERIC)))
 add("prep_categorical", prepared_categories, ", cats AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS category, COUNT(*) AS n {_TRAIN} AND {c} IS NOT NULL GROUP BY 2" for c in CATEGORICAL) + """)
   SELECT feature, CAST(ROW_NUMBER() OVER (PARTITION BY feature ORDER BY category) AS INTEGER) AS place, category, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY n DESC, category) = 1 AS is_mode FROM cats""")
+
+
+def prepared_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(place, column, mean): the prepared columns in their order, with their means over the training rows."""
+    rows = stats.chrono_split(training_of(spark, sf_dir)).where("split = 'train'")
+    p = ml.Preparation.learn(rows, scale=False)
+    means = rows.agg(*[F.avg(c).alias(f"c{k}") for k, c in enumerate(p.columns())])
+    each = [F.struct(F.lit(k + 1).alias("place"), F.lit(n).alias("column"), fx.rnd(F.col(f"c{k}"), 4).alias("mean")) for k, n in enumerate(p.names())]
+    return means.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+_BOOLEANS = [(len(NUMERIC) + 1000 + k, c) for k, c in enumerate(BOOLEAN)]
+COLUMNS = ", cats AS (" + " UNION ALL ".join(f"SELECT {k} AS f, '{c}' AS feature, {c} AS category, COUNT(*) AS n {_TRAIN} GROUP BY 3" for k, c in enumerate(CATEGORICAL)) + "), cols AS (" + " UNION ALL ".join([
+    *(f"SELECT {k} AS o, '' AS category, '{c}' AS col, AVG(CAST({c} AS DOUBLE)) AS mean {_TRAIN}" for k, c in enumerate(NUMERIC)),
+    f"SELECT {len(NUMERIC)} + f, category, feature || '=' || category, n / (SELECT COUNT(*) {_TRAIN}) FROM cats",
+    *(f"SELECT {k}, '', '{c}', AVG(CAST({c} AS INTEGER)) {_TRAIN}" for k, c in _BOOLEANS),
+]) + ")"
+add("prep_columns", prepared_means, COLUMNS + " SELECT CAST(ROW_NUMBER() OVER (ORDER BY o, category) AS INTEGER) AS place, col AS \"column\", ROUND(mean, 4) AS mean FROM cols")
+
+
+def logistic_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(column, gradient, nonzero): the penalised gradient of the fitted logistic model over the training rows, which is zero at the optimum."""
+    rows = stats.chrono_split(training_of(spark, sf_dir)).where("split = 'train'")
+    preparation, model = ml.fit("logistic_regression", rows)
+    return ml.penalised_gradient(preparation, model, rows).select("column", (fx.rnd(F.col("gradient"), 6) + 0.0).alias("gradient"), F.lit(bool(abs(model.coefficients).max() > 0.01)).alias("nonzero"))
+
+
+add("logistic_certificate", logistic_certificate, COLUMNS + " SELECT col AS \"column\", CAST(0 AS DOUBLE) AS gradient, TRUE AS nonzero FROM cols UNION ALL SELECT 'intercept', 0.0, TRUE")
+
+
+def select_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The better of three fixed scores on the validation rows."""
+    rows = stats.chrono_split(training_of(spark, sf_dir)).where("split = 'validation'")
+    scores = {"fixed": scoring.fixed_scorer(rows, "p0"), "speed": rows.withColumn("p0", 1 - F.col("response_minutes") / 1441), "value": rows.withColumn("p0", 1 / (1 + F.col("estimated_value") / 100000))}
+    found = None
+    for name, scored in scores.items():
+        one = stats.metrics(scored.select(fx.rnd(F.col("p0"), 6).alias("p"), F.col("target_booked").alias("y")), 0.5).select(F.lit(name).alias("name"), "roc_auc", "brier_score")
+        found = one if found is None else found.union(one)
+    return ml.best_candidate(found)
+
+
+add("model_select", select_model, f""", v AS (SELECT * FROM split WHERE split = 'validation'), x AS (SELECT 'fixed' AS name, ROUND(1 / (1 + EXP(-({_LOGIT}))), 6) AS p, target_booked AS y FROM v
+  UNION ALL SELECT 'speed', ROUND(1 - response_minutes / 1441, 6), target_booked FROM v UNION ALL SELECT 'value', ROUND(1 / (1 + estimated_value / 100000), 6), target_booked FROM v),
+  g AS (SELECT name, p, SUM(y) AS tp, COUNT(*) AS n FROM x GROUP BY 1, 2), c AS (SELECT *, n - tp AS fp, SUM(n - tp) OVER (PARTITION BY name ORDER BY p) - (n - tp) AS below FROM g),
+  a AS (SELECT name, ROUND(CAST(SUM(tp * (2 * below + fp)) AS DOUBLE) / (2.0::DOUBLE * SUM(tp) * SUM(fp)), 6) AS roc_auc FROM c GROUP BY name)
+  SELECT name, roc_auc, brier_score FROM a JOIN (SELECT name, ROUND(AVG(POW(p - y, 2)), 6) AS brier_score FROM x GROUP BY name) USING (name) ORDER BY roc_auc DESC, brier_score, name LIMIT 1""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 from datetime import date, datetime
 from decimal import Decimal
 from pathlib import Path
@@ -39,6 +40,20 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder of spark.checkpoint.dir, so that a lost executor costs no recomputation.
+
+    Where the setting is absent a local master gets a folder of its own; a cluster raises.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="leadweave-"))
+    return df.checkpoint()
+
+
 class Warehouse:
     """Named Parquet tables below a folder, each replaced as a whole."""
 

@@ -34,7 +34,7 @@ def test_generator(spark):
 @pytest.fixture(scope="module")
 def run(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("run")
-    return root, build(spark, str(root), str(root / "artifacts"), leads=1800, as_of=AS_OF, rounds=30, repeats=1)
+    return root, build(spark, str(root), str(root / "artifacts"), leads=1800, as_of=AS_OF, rounds=12, repeats=1)
 
 
 def test_run(run, spark):
