@@ -479,7 +479,7 @@ def test_sql_of_the_corpus_queries(spark):
     from leadweave.llm.queries import ORACLE_SQL, QUERIES
 
     duck = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         own = duck.sql(sql)
