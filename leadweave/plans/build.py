@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, date, datetime
 from pathlib import Path
 from typing import Any
@@ -45,22 +46,49 @@ def monitoring(w: Warehouse, bundle: ml.Bundle) -> dict[str, Any]:
     }
 
 
+#: The eight dashboard sets over the warehouse's tables. Every top-k has a unique last key.
+DASHBOARD = {
+    "summary": """SELECT int(count(*)) AS matured_leads, int(sum(booked)) AS booked_leads, round(avg(booked) * 1e6, 0) / 1e6 AS booking_rate, round(median(response_minutes) * 1e2, 0) / 1e2 AS median_response_minutes,
+      (SELECT max(test_roc_auc) FROM mart_model_summary) AS test_roc_auc, (SELECT int(count(*)) FROM mart_scored_candidates) AS open_candidates, (SELECT max(psi) FROM mart_feature_drift) AS maximum_psi
+      FROM fct_lead_outcomes WHERE is_matured""",
+    "monthly": "SELECT * FROM mart_monthly_funnel ORDER BY month",
+    "channels": "SELECT * FROM mart_channel_performance ORDER BY booking_rate DESC, leads DESC, channel",
+    "campaigns": "SELECT * FROM mart_campaign_performance ORDER BY booking_rate DESC, leads DESC, campaign, channel LIMIT 10",
+    "calibration": "SELECT * FROM mart_model_calibration ORDER BY decile",
+    "importance": "SELECT * FROM mart_feature_importance ORDER BY importance_mean DESC, feature LIMIT 8",
+    "drift": "SELECT * FROM mart_feature_drift ORDER BY psi DESC, feature",
+    "candidates": """SELECT lead_id, channel, service_type, round(booking_probability * 1e4, 0) / 1e4 AS booking_probability, round(priority_score * 1e2, 0) / 1e2 AS priority_score, recommended_action,
+      round(response_minutes * 1e1, 0) / 1e1 AS response_minutes, round(estimated_value * 1e2, 0) / 1e2 AS estimated_value
+      FROM (SELECT *, priority_score AS priority FROM mart_scored_candidates) ORDER BY priority DESC, lead_id LIMIT 12""",
+}
+DEFINITIONS = {
+    "booking_rate": "leads with a booking over leads, matured ones only", "attendance_rate": "leads that attended over leads", "win_rate": "leads won over leads",
+    "median_response_minutes": "exact median of the minutes to the first response", "average_response_minutes": "mean of the minutes to the first response",
+    "pipeline_value": "sum of the leads' estimated values", "test_roc_auc": "ROC AUC on the newest 15% of matured leads, by the model fitted on the oldest 70%",
+    "open_candidates": "leads inside their outcome window that have been observed and aren't booked", "maximum_psi": "the largest population stability index of a feature",
+    "psi": "population stability index of the newest 30% against the rest", "importance_mean": "mean drop in ROC AUC when the feature's values are dealt out anew",
+    "mean_predicted": "mean predicted probability of the decile", "observed_rate": "share of the decile's leads that booked", "booking_probability": "predicted probability of a booking",
+    "priority_score": "probability times value, by 1.2 for leads that have waited for two hours",
+}
+
+
 def dashboard_queries(w: Warehouse) -> dict[str, DataFrame]:
-    """Eight bounded results; every top-k has a unique last key."""
-    t = w.table
-    summary = marts.matured_summary(t("fct_lead_outcomes"))
-    one = lambda df, c, name: df.select(F.col(c).alias(name))
-    summary = summary.crossJoin(one(t("mart_model_summary"), "test_roc_auc", "test_roc_auc")).crossJoin(t("mart_scored_candidates").agg(F.count(F.lit(1)).cast("int").alias("open_candidates"))).crossJoin(t("mart_feature_drift").agg(F.max("psi").alias("maximum_psi")))
+    """Eight bounded results."""
+    for name in sorted({t for sql in DASHBOARD.values() for t in re.findall(r"FROM (\w+)", sql)}):
+        w.register(name)
+    return {name: w.spark.sql(sql) for name, sql in DASHBOARD.items()}
+
+
+def provenance(w: Warehouse, name: str, df: DataFrame) -> dict[str, Any]:
+    """Where a result comes from: its SQL, and tables, filters, order, limit and columns as the analysed plan has them."""
+    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().analyzed().toString())
+    found = lambda node: [m.strip() for m in re.findall(rf"{node} (.+)", plan)]
+    tables = sorted(set(re.findall(r"View \(`(\w+)`", plan)))
     return {
-        "summary": summary,
-        "monthly": t("mart_monthly_funnel").orderBy("month"),
-        "channels": t("mart_channel_performance").orderBy(F.col("booking_rate").desc(), F.col("leads").desc(), "channel"),
-        "campaigns": t("mart_campaign_performance").orderBy(F.col("booking_rate").desc(), F.col("leads").desc(), "campaign", "channel").limit(10),
-        "calibration": t("mart_model_calibration").orderBy("decile"),
-        "importance": t("mart_feature_importance").orderBy(F.col("importance_mean").desc(), "feature").limit(8),
-        "drift": t("mart_feature_drift").orderBy(F.col("psi").desc(), "feature"),
-        "candidates": top_candidates(t("mart_scored_candidates")),
-    }
+        "id": name, "sql": " ".join(DASHBOARD[name].split()), "tables": tables, "versions": {t: w.version(t) for t in tables}, "filters": found("Filter"), "order": found("Sort"),
+        "limit": min((int(x) for x in found("GlobalLimit")), default=None), "columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema],
+        "definitions": {c: DEFINITIONS[c] for c in df.columns if c in DEFINITIONS}, "executed_at": datetime.now(UTC).isoformat(),
+    }
 
 
 def top_candidates(scored: DataFrame, k: int = 12) -> DataFrame:
@@ -80,7 +108,15 @@ def api_metrics(w: Warehouse) -> dict[str, Any]:
 def model_card(document: dict[str, Any], importance: list[dict[str, Any]]) -> str:
     """The model card as Markdown, with the six most important features."""
     own, plain = document["selected_test_metrics"], document["naive_test_metrics"]
-    lines = ["# Model card", "", f"Model: {document['selected_model']}, as of {document['as_of_date']}. Split: {document['split_strategy']}.", "", "| metric | model | constant rate |", "|-|-|-|"]
+    rows = document["rows"]
+    lines = [
+        "# Model card", "", f"Model: {document['selected_model']}, as of {document['as_of_date']}. Split: {document['split_strategy']}.",
+        f"Predicted: {document['outcome']}, at {document['prediction_point']}. Rows: {rows['train']} to train, {rows['validation']} to choose, {rows['test']} to judge; {rows['deployment_train']} for the model in use.", "",
+        "## Use", "", "To order the follow-up of open leads by people. Not to refuse service, to set prices or to decide without a person; leads without consent go to a review of consent.", "",
+        "## Limits", "", "Learned from generated leads; attendance and wins of new leads aren't all seen yet; changes that explanations name are what the model would say, not what would happen.", "",
+        "## Watch", "", "Population stability of each feature (watch from 0.10, review from 0.20) and calibration by channel over the newest 30% of matured leads, at each run.", "", "## Quality", "",
+    ]
+    lines += ["| metric | model | constant rate |", "|-|-|-|"]
     lines += [f"| {k} | {own[k]} | {plain[k]} |" for k in own]
     lines += ["", "| feature | drop in ROC AUC | deviation |", "|-|-|-|", *[f"| {r['feature']} | {r['importance_mean']:.4f} | {r['importance_std']:.4f} |" for r in importance[:6]], "", scoring.CAVEAT, ""]
     return "\n".join(lines)
@@ -107,6 +143,7 @@ def build(spark: SparkSession, root: str, artifacts: str, leads: int = DEFAULT_L
     w.replace("mart_scored_candidates", scoring.score_frame(w.table("mart_recent_candidates"), bundle.scorer))
     report = monitoring(w, bundle)
     write_json(out / "monitoring_report.json", report)
-    datasets = {name: records(df) for name, df in dashboard_queries(w).items()}
-    write_json(out / "dashboard.json", {"generated_at": datetime.now(UTC).isoformat(), "as_of_date": as_of.isoformat(), "datasets": datasets})
-    return {"quality": quality, "model": document, "monitoring": report, "dashboard": datasets, "bundle": bundle, "warehouse": w}
+    frames = dashboard_queries(w)
+    datasets, sources = {name: records(df) for name, df in frames.items()}, [provenance(w, name, df) for name, df in frames.items()]
+    write_json(out / "dashboard.json", {"generated_at": datetime.now(UTC).isoformat(), "as_of_date": as_of.isoformat(), "datasets": datasets, "sources": sources})
+    return {"quality": quality, "model": document, "monitoring": report, "dashboard": datasets, "sources": sources, "bundle": bundle, "warehouse": w}

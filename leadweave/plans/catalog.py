@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from .. import functions as fx
 from ..config import BOOLEAN, CATEGORICAL, FEATURES, NUMERIC, Outcome
 from ..operators import contracts, facts, marts, ml, scoring, stats
-from ..sources import events_of_lines, leads_of_orders, load
+from ..sources import Warehouse, events_of_lines, leads_of_orders, load, scan_csv, scan_csv_apart, shared_folder, write_csv
+from . import drawn, templates
 from .build import top_candidates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,3 +403,48 @@ add("model_select", select_model, f""", v AS (SELECT * FROM split WHERE split =
   g AS (SELECT name, p, SUM(y) AS tp, COUNT(*) AS n FROM x GROUP BY 1, 2), c AS (SELECT *, n - tp AS fp, SUM(n - tp) OVER (PARTITION BY name ORDER BY p) - (n - tp) AS below FROM g),
   a AS (SELECT name, ROUND(CAST(SUM(tp * (2 * below + fp)) AS DOUBLE) / (2.0::DOUBLE * SUM(tp) * SUM(fp)), 6) AS roc_auc FROM c GROUP BY name)
   SELECT name, roc_auc, brier_score FROM a JOIN (SELECT name, ROUND(AVG(POW(p - y, 2)), 6) AS brier_score FROM x GROUP BY name) USING (name) ORDER BY roc_auc DESC, brier_score, name LIMIT 1""")
+
+# The generator's draws for the ids of orders.
+for _name, (_query, _sql) in drawn.queries(CONFIG).items():
+    add(_name, _query, _sql, prefix=False)
+
+# The marts from SQL files.
+for _name in templates.templates():
+    add(f"template_{_name}", (lambda n: lambda s, d: templates.marts(s, fct_of(s, d), CONFIG)[n])(_name), sql_of(f"mart_{_name}"))
+
+
+# Tables written and read back, in the shared folder.
+def _csv(spark: SparkSession, df: DataFrame) -> str:
+    write_csv(df, path := f"{shared_folder(spark)}/leadweave-csv-{uuid.uuid4().hex}")
+    return path
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders, written as CSV with a header and read by a declared schema."""
+    rows = load(spark, sf_dir, "orders")[0].select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    return scan_csv(spark, _csv(spark, rows.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))), "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz")
+
+
+def _spoilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    rows = load(spark, sf_dir, "orders")[0].select(key.cast("string").alias("o_orderkey"), F.when(key % 7 == 3, F.lit("n/a")).otherwise(price).alias("o_totalprice"))
+    return scan_csv_apart(spark, _csv(spark, rows), "o_orderkey bigint, o_totalprice double")
+
+
+add("scan_csv", csv_round_trip, "SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate FROM orders", prefix=False)
+add("scan_csv_rows", lambda s, d: _spoilt(s, d)[0], "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 7 <> 3", prefix=False)
+add("scan_csv_bad_lines", lambda s, d: _spoilt(s, d)[1], "SELECT o_orderkey || ',n/a' AS line FROM orders WHERE o_orderkey % 7 = 3", prefix=False)
+
+
+def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channel mart, replaced by itself from the version before."""
+    w = Warehouse(spark, f"{shared_folder(spark)}/leadweave-tables-{uuid.uuid4().hex}")
+    first = w.replace("mart_channel_performance", marts.channel_performance(fct_of(spark, sf_dir)).withColumn("booked", F.lit(0)))
+    own = marts.channel_performance(fct_of(spark, sf_dir)).select("channel", "booked")
+    return w.replace("mart_channel_performance", first.drop("booked").join(own, "channel"))
+
+
+add("ctas_replace", replaced, sql_of("mart_channel_performance"))
+add("iso_utc", on_leads(lambda f: f.select("lead_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))), "SELECT lead_id, STRFTIME(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM stg_leads")
+add("records_json", on_fct(lambda f: f.select(F.to_json(F.struct("lead_id", "channel", "follow_up_count", "consent_to_contact", F.when(F.col("booked") == 1, F.col("region")).alias("booked_region")), {"ignoreNullFields": "false"}).alias("record"))),
+    "SELECT CAST(to_json({'lead_id': lead_id, 'channel': channel, 'follow_up_count': follow_up_count, 'consent_to_contact': consent_to_contact, 'booked_region': CASE WHEN booked = 1 THEN region END}) AS VARCHAR) AS record FROM fct")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import uuid
 from datetime import date, datetime
 from decimal import Decimal
 from pathlib import Path
@@ -24,6 +25,19 @@ def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
+def scan_csv_apart(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad): a CSV file with a header by a declared schema, and the text of the lines that don't fit it as column ``line``.
+
+    A line is bad if it has fewer or more fields than the schema, or a value that isn't of its column's type; empty fields are null. Lines
+    are read once and kept, with all their columns: a scan that needs only some of them wouldn't see what is wrong with the others.
+    """
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    bad = "_line" if "_line" not in names else "_line_"
+    read = spark.read.schema(f"{schema}, {bad} string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
+    found = saved(read.csv(path))
+    return found.where(F.col(bad).isNull()).select(*names), found.where(F.col(bad).isNotNull()).select(F.col(bad).alias("line"))
+
+
 def read_leads(spark: SparkSession, path: str) -> DataFrame:
     return scan_csv(spark, path, LEADS)
 
@@ -40,38 +54,78 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder of spark.checkpoint.dir, so that a lost executor costs no recomputation.
-
-    Where the setting is absent a local master gets a folder of its own; a cluster raises.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local["):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Where the setting is absent a local master gets a folder of its own; a cluster raises."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="leadweave-"))
+        found = "file://" + tempfile.mkdtemp(prefix="leadweave-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 class Warehouse:
-    """Named Parquet tables below a folder, each replaced as a whole."""
+    """Named tables below a folder, each replaced as a whole: a version is written beside the others, then a pointer file is moved to name it.
+
+    Until that move readers get the version before, and a run that fails leaves it as it was. The KEPT latest versions stay, so that
+    a reader who has started on one can end.
+    """
+
+    KEPT = 2
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def replace(self, name: str, df: DataFrame) -> DataFrame:
+    def _path(self, *parts: str) -> Any:
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+
+    def _files(self) -> Any:
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def version(self, name: str) -> str | None:
+        """The version that readers get, None if there is none yet."""
         if not re.fullmatch(r"[a-z][a-z0-9_]*", name):
             raise ValueError(f"Not a table name: {name}")
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        at = self._path(name, "current")
+        return self.spark.read.text(str(at)).first().value if self._files().exists(at) else None
+
+    def replace(self, name: str, df: DataFrame) -> DataFrame:
+        before = self.version(name)
+        made = f"v{int(before[1:10]) + 1 if before else 1:09d}-{uuid.uuid4().hex[:8]}"
+        try:
+            df.write.parquet(f"{self.root}/{name}/{made}")
+        except Exception:
+            self._files().delete(self._path(name, made), True)
+            raise
+        jvm, fs = self.spark._jvm, self._files()
+        pointer = self._path(name, f"next-{made}")
+        out = fs.create(pointer, True)
+        out.write(bytearray(made.encode()))
+        out.close()
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(pointer, self._path(name, "current"), how)
+        versions = sorted(s.getPath().getName() for s in fs.listStatus(self._path(name)) if s.getPath().getName().startswith("v"))
+        for old in versions[: -self.KEPT]:
+            fs.delete(self._path(name, old), True)
         return self.table(name)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        version = self.version(name)
+        if version is None:
+            raise ValueError(f"No table {name} below {self.root}")
+        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
     def has(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.version(name) is not None
 
     def read_table(self, name: str) -> DataFrame:
         """One of READABLE."""

@@ -46,7 +46,14 @@ def test_run(run, spark):
     own, plain = out["model"]["selected_test_metrics"], out["model"]["naive_test_metrics"]
     assert own["roc_auc"] > 0.62 and own["average_precision"] > plain["average_precision"] and own["brier_score"] < plain["brier_score"]
     assert len(out["dashboard"]["candidates"]) <= 12 and len(out["dashboard"]["campaigns"]) <= 10 and len(out["monitoring"]["drift"]) == 9
-    assert "causal" in out["monitoring"]["caveat"]
+    assert "causal" in out["monitoring"]["caveat"] and {"prediction_point", "outcome"} <= set(out["model"])
+    sources = {x["id"]: x for x in out["sources"]}
+    assert set(sources) == set(out["dashboard"]) and all(x["sql"] and x["tables"] and x["columns"] for x in sources.values())
+    assert sources["summary"]["tables"] == ["fct_lead_outcomes", "mart_feature_drift", "mart_model_summary", "mart_scored_candidates"] and sources["summary"]["filters"] == ["is_matured"]
+    assert sources["candidates"]["limit"] == 12 and "priority DESC" in sources["candidates"]["order"][0] and "booking_rate" in sources["channels"]["definitions"]
+    assert len(out["dashboard"]["importance"]) == 8 and out["dashboard"]["summary"][0]["matured_leads"] == matured
+    card = (root / "artifacts" / "model_card.md").read_text()
+    assert all(f"## {part}" in card for part in ("Use", "Limits", "Watch", "Quality"))
     assert api_metrics(w)["summary"]["matured_leads"] == matured
     for name in ("data_quality_report", "model_metrics", "monitoring_report", "dashboard"):
         assert json.loads((root / "artifacts" / f"{name}.json").read_text())

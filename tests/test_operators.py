@@ -256,3 +256,67 @@ def test_command_line(monkeypatch, capsys):
     monkeypatch.setattr(cli, "build", lambda *a, **k: seen.update(a=a, k=k) or {"quality": {"status": "passed"}, "model": {"selected_model": "m", "selected_test_metrics": {}}, "monitoring": {"maximum_psi": 0.0}})
     assert cli.main(["build", "/data", "--leads", "500", "--rounds", "3"]) == 0
     assert seen["a"][:4] == ("spark", "/data", "/data/artifacts", 500) and seen["k"] == {"rounds": 3} and "passed" in capsys.readouterr().out
+
+
+def test_failed_replacement_leaves_the_table(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path))
+    first = w.replace("marks", spark.range(3).withColumn("x", F.lit(1)))
+    failing = spark.range(100).withColumn("x", F.when(F.col("id") == 99, F.raise_error(F.lit("broken"))).otherwise(2).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        w.replace("marks", failing)
+    assert w.table("marks").collect() == first.collect() and len([p for p in (tmp_path / "marks").iterdir() if p.name.startswith("v")]) == 1
+    second = w.replace("marks", w.table("marks").withColumn("x", F.col("x") + 1))  # from itself
+    assert [r.x for r in second.collect()] == [2, 2, 2] and first.count() == 3  # a reader of the version before can end
+    for k in range(3):
+        w.replace("marks", spark.range(k))
+    assert w.table("marks").count() == 2 and w.version("marks").startswith("v000000005") and len([p for p in (tmp_path / "marks").iterdir() if p.name.startswith("v")]) == 2
+    with pytest.raises(ValueError, match="No table"):
+        w.table("none")
+    with pytest.raises(ValueError, match="Not a table name"):
+        w.replace("../x", first)
+    assert not w.has("none") and w.has("marks")
+
+
+def test_bad_lines_are_set_apart(spark, tmp_path):
+    from leadweave.sources import scan_csv, scan_csv_apart
+
+    (tmp_path / "a.csv").write_text('id,x,at\n1,2.5,2026-01-01 00:00:00\n2,no,2026-01-01 00:00:00\n3,4.5\n4,,\n5,1.0,2026-01-01 00:00:00,more\n"6","7",2026-01-02 00:00:00\n')
+    schema = "id int, x double, at timestamp_ntz"
+    rows, bad = scan_csv_apart(spark, str(tmp_path / "a.csv"), schema)
+    assert sorted(r.id for r in rows.collect()) == [1, 4, 6] and sorted(r.line for r in bad.collect()) == ["2,no,2026-01-01 00:00:00", "3,4.5", "5,1.0,2026-01-01 00:00:00,more"]
+    assert rows.count() + bad.count() == 6 and [r.id for r in rows.select("id").orderBy("id").collect()] == [1, 4, 6]
+    with pytest.raises(Exception, match="MALFORMED"):
+        scan_csv(spark, str(tmp_path / "a.csv"), schema).collect()
+
+
+def test_templates_take_named_values(spark):
+    from leadweave.plans import templates
+
+    text = "SELECT count(*) AS n, :word AS word FROM IDENTIFIER(:t) WHERE x < :most -- :not_one\n AND 'a:b' <> ':nor_this'"
+    spark.range(9).select(F.col("id").alias("x")).createOrReplaceTempView("template_test")
+    assert templates.parameters(text) == {"word", "t", "most"}
+    assert tuple(templates.run(spark, text, word="x' OR 1=1", t="template_test", most=4).first()) == (4, "x' OR 1=1")
+    with pytest.raises(ValueError, match="takes"):
+        templates.run(spark, text, word="x", t="template_test")
+    assert list(templates.templates()) == ["monthly_funnel", "channel_performance", "campaign_performance", "recent_candidates"]
+
+
+def test_templates_equal_the_marts(spark):
+    from leadweave.plans import templates
+    from leadweave.sources.generator import generate
+
+    fct = facts.lead_outcomes(*generate(spark, 1500, 4, NOW.as_of), NOW).cache()
+    own = {"monthly_funnel": marts.monthly_funnel(fct), "channel_performance": marts.channel_performance(fct), "campaign_performance": marts.campaign_performance(fct), "recent_candidates": marts.recent_candidates(fct, NOW)}
+    for name, df in templates.marts(spark, fct, NOW).items():
+        assert sorted(df.columns) == sorted(own[name].columns) and df.select(own[name].columns).exceptAll(own[name]).isEmpty() and df.count() == own[name].count() > 0
+    fct.unpersist()
+
+
+def test_gamma_draws_are_gamma(spark):
+    from leadweave.sources import generator
+
+    got = np.array([r.g for r in spark.range(30_000).select(generator.gamma(3, "delay", 1.8, 22.0).alias("g")).collect()])
+    assert abs(got.mean() / (1.8 * 22) - 1) < 0.02 and abs(got.var() / (1.8 * 22**2) - 1) < 0.05
+    expected = np.random.default_rng(1).gamma(1.8, 22.0, 1_000_000)
+    shares = np.array([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
+    assert np.abs(np.searchsorted(np.sort(got), np.quantile(expected, shares)) / len(got) - shares).max() < 0.012
