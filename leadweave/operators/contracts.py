@@ -79,8 +79,10 @@ def contract(name: str, leads: DataFrame, events: DataFrame, fct: DataFrame) ->
     return _count((fct if name == "dq_funnel_order" else leads).where(ROW_RULES[name]()))
 
 
-def check_all(leads: DataFrame, events: DataFrame, fct: DataFrame) -> DataFrame:
-    """(name, expected, actual, passed, blocking) of all contracts; the row rules of leads share one pass."""
+def check_all(leads: DataFrame, events: DataFrame, fct: DataFrame, advisory: tuple[str, ...] = ()) -> DataFrame:
+    """(name, expected, actual, passed, blocking) of all contracts; the row rules of leads share one pass. Those in ``advisory`` don't block."""
+    if unknown := set(advisory) - set(NAMES):
+        raise ValueError(f"Not contracts: {sorted(unknown)}")
     of_leads = [k for k in ROW_RULES if k != "dq_funnel_order"]
     row = leads.agg(*[F.coalesce(F.sum(F.when(ROW_RULES[k](), F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("bigint").alias(k) for k in of_leads])
     out = row.unpivot([], of_leads, "key", "violations")
@@ -88,12 +90,12 @@ def check_all(leads: DataFrame, events: DataFrame, fct: DataFrame) -> DataFrame:
         if key not in of_leads:
             out = out.union(contract(key, leads, events, fct).select(F.lit(key).alias("key"), "violations"))
     name = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])[F.col("key")]
-    return out.select(name.alias("name"), F.lit(0).cast("bigint").alias("expected"), F.col("violations").alias("actual"), (F.col("violations") == 0).alias("passed"), F.lit(True).alias("blocking"))
+    return out.select(name.alias("name"), F.lit(0).cast("bigint").alias("expected"), F.col("violations").alias("actual"), (F.col("violations") == 0).alias("passed"), (~F.col("key").isin(*advisory) if advisory else F.lit(True)).alias("blocking"))
 
 
-def validate(leads: DataFrame, events: DataFrame, fct: DataFrame, write=None) -> dict[str, Any]:
-    """The report; it is given to ``write`` before DataQualityError is raised for failed blocking contracts."""
-    found = {r["name"]: json_value(r) for r in check_all(leads, events, fct).collect()}
+def validate(leads: DataFrame, events: DataFrame, fct: DataFrame, write=None, advisory: tuple[str, ...] = ()) -> dict[str, Any]:
+    """The report; it is given to ``write`` before DataQualityError is raised for failed blocking contracts. Failed advisory ones are reported only."""
+    found = {r["name"]: json_value(r) for r in check_all(leads, events, fct, advisory).collect()}
     checks = [found[n] for n in NAMES.values()]
     failed = [c["name"] for c in checks if c["blocking"] and not c["passed"]]
     report = {"generated_at": datetime.now(UTC).isoformat(), "status": "failed" if failed else "passed", "summary": json_value(quality_summary(fct).first()), "checks": checks}

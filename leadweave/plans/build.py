@@ -82,7 +82,7 @@ def dashboard_queries(w: Warehouse) -> dict[str, DataFrame]:
 def provenance(w: Warehouse, name: str, df: DataFrame) -> dict[str, Any]:
     """Where a result comes from: its SQL, and tables, filters, order, limit and columns as the analysed plan has them."""
     plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().analyzed().toString())
-    found = lambda node: [m.strip() for m in re.findall(rf"{node} (.+)", plan)]
+    found = lambda node: [m.strip() for m in re.findall(rf"{node} (.+?)(?:: \w+)?$", plan, re.M)]
     tables = sorted(set(re.findall(r"View \(`(\w+)`", plan)))
     return {
         "id": name, "sql": " ".join(DASHBOARD[name].split()), "tables": tables, "versions": {t: w.version(t) for t in tables}, "filters": found("Filter"), "order": found("Sort"),
@@ -91,6 +91,31 @@ def provenance(w: Warehouse, name: str, df: DataFrame) -> dict[str, Any]:
     }
 
 
+# What a page shows: parts with the set they read, and the columns they take from it.
+CARDS = (("leads", "summary", "matured_leads", "integer"), ("bookings", "summary", "booked_leads", "integer"), ("rate", "summary", "booking_rate", "percent"), ("quality", "summary", "test_roc_auc", "number"), ("open", "summary", "open_candidates", "integer"))
+CHARTS = (
+    ("funnel", "monthly", "line", "month", ("leads", "booked", "attended", "won")),
+    ("channel_rates", "channels", "bar", "channel", ("booking_rate",)),
+    ("calibration", "calibration", "line", "mean_predicted", ("observed_rate",)),
+    ("importance", "importance", "bar", "feature", ("importance_mean",)),
+    ("drift", "drift", "bar", "feature", ("psi",)),
+)
+TABLES = (("campaigns", "campaigns", ("campaign", "channel", "leads", "booked", "booking_rate", "pipeline_value")), ("candidates", "candidates", ("lead_id", "channel", "service_type", "booking_probability", "priority_score", "recommended_action")))
+
+
+def layout(frames: dict[str, DataFrame]) -> dict[str, Any]:
+    """Cards, charts, tables and their order on a page, each with the id of its source; ValueError if a set or column isn't there."""
+    cards = [{"id": f"card_{i}", "source": of, "column": c, "format": how} for i, of, c, how in CARDS]
+    charts = [{"id": f"chart_{i}", "source": of, "kind": kind, "x": x, "y": list(y)} for i, of, kind, x, y in CHARTS]
+    tables = [{"id": f"table_{i}", "source": of, "columns": list(c)} for i, of, c in TABLES]
+    for part in (*cards, *charts, *tables):
+        columns = [*part.get("columns", ()), *part.get("y", ()), *(part[k] for k in ("column", "x") if k in part)]
+        if part["source"] not in frames or (absent := set(columns) - set(frames[part["source"]].columns)):
+            raise ValueError(f"{part['id']} takes columns that {part['source']} doesn't have: {sorted(absent) if part['source'] in frames else columns}")
+    blocks = [{"kind": "metrics", "parts": [c["id"] for c in cards]}, *({"kind": "chart", "parts": [c["id"]]} for c in charts), *({"kind": "table", "parts": [t["id"]]} for t in tables), {"kind": "note", "text": scoring.CAVEAT}]
+    return {"cards": cards, "charts": charts, "tables": tables, "blocks": blocks}
+
+
 def top_candidates(scored: DataFrame, k: int = 12) -> DataFrame:
     from ..functions import rnd
 
@@ -145,5 +170,5 @@ def build(spark: SparkSession, root: str, artifacts: str, leads: int = DEFAULT_L
     write_json(out / "monitoring_report.json", report)
     frames = dashboard_queries(w)
     datasets, sources = {name: records(df) for name, df in frames.items()}, [provenance(w, name, df) for name, df in frames.items()]
-    write_json(out / "dashboard.json", {"generated_at": datetime.now(UTC).isoformat(), "as_of_date": as_of.isoformat(), "datasets": datasets, "sources": sources})
+    write_json(out / "dashboard.json", {"generated_at": datetime.now(UTC).isoformat(), "as_of_date": as_of.isoformat(), "datasets": datasets, "sources": sources, "layout": layout(frames)})
     return {"quality": quality, "model": document, "monitoring": report, "dashboard": datasets, "sources": sources, "bundle": bundle, "warehouse": w}

@@ -448,3 +448,28 @@ add("ctas_replace", replaced, sql_of("mart_channel_performance"))
 add("iso_utc", on_leads(lambda f: f.select("lead_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))), "SELECT lead_id, STRFTIME(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM stg_leads")
 add("records_json", on_fct(lambda f: f.select(F.to_json(F.struct("lead_id", "channel", "follow_up_count", "consent_to_contact", F.when(F.col("booked") == 1, F.col("region")).alias("booked_region")), {"ignoreNullFields": "false"}).alias("record"))),
     "SELECT CAST(to_json({'lead_id': lead_id, 'channel': channel, 'follow_up_count': follow_up_count, 'consent_to_contact': consent_to_contact, 'booked_region': CASE WHEN booked = 1 THEN region END}) AS VARCHAR) AS record FROM fct")
+
+CHECKS = sql_of("dq_all")
+add("dq_advisory", lambda s, d: contracts.check_all(*mapped(s, d), advisory=("dq_unique_events", "dq_event_before_lead")), f"SELECT * REPLACE (name NOT IN ('{contracts.NAMES['dq_unique_events']}', '{contracts.NAMES['dq_event_before_lead']}') AS blocking) FROM ({CHECKS})")
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channel mart by SQL over a frame that is known by a name only while the statement is made."""
+    marts.channel_performance(fct_of(spark, sf_dir)).createOrReplaceTempView("registered_channels")
+    out = spark.sql("SELECT channel, leads, booked FROM registered_channels WHERE booked > 0")
+    spark.catalog.dropTempView("registered_channels")
+    return out
+
+
+add("register_frame", registered, f"SELECT channel, leads, booked FROM ({sql_of('mart_channel_performance')}) WHERE booked > 0")
+
+
+def sorted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training set as a warehouse table, in its order: a table has none of its own, so that it is sorted on reading."""
+    w = Warehouse(spark, f"{shared_folder(spark)}/leadweave-tables-{uuid.uuid4().hex}")
+    return w.replace("model_training_set", training_of(spark, sf_dir)).orderBy("created_at", "lead_id").select("lead_id", "created_at", "target_booked")
+
+
+add("sort_ctas", sorted_table, "SELECT lead_id, created_at, target_booked FROM training ORDER BY created_at, lead_id")
+add("group_rank", lambda s, d: scores_of(s, d).select("lead_id", F.posexplode("drivers").alias("at", "x")).select("lead_id", (F.col("at") + 1).alias("place"), F.abs("x.probability_delta").alias("delta")),
+    sql_of("counterfactual").replace("SELECT lead_id, factor, ROUND_EVEN(delta, 4) AS probability_delta FROM w", "SELECT lead_id, CAST(ROW_NUMBER() OVER (PARTITION BY lead_id ORDER BY ABS(ROUND_EVEN(delta, 4)) DESC) AS INTEGER) AS place, ABS(ROUND_EVEN(delta, 4)) AS delta FROM w"))

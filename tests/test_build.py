@@ -52,6 +52,9 @@ def test_run(run, spark):
     assert sources["summary"]["tables"] == ["fct_lead_outcomes", "mart_feature_drift", "mart_model_summary", "mart_scored_candidates"] and sources["summary"]["filters"] == ["is_matured"]
     assert sources["candidates"]["limit"] == 12 and "priority DESC" in sources["candidates"]["order"][0] and "booking_rate" in sources["channels"]["definitions"]
     assert len(out["dashboard"]["importance"]) == 8 and out["dashboard"]["summary"][0]["matured_leads"] == matured
+    page = json.loads((root / "artifacts" / "dashboard.json").read_text())["layout"]
+    assert (len(page["cards"]), len(page["charts"]), len(page["tables"]), len(page["blocks"])) == (5, 5, 2, 9) and page["blocks"][0]["kind"] == "metrics"
+    assert {p["source"] for part in ("cards", "charts", "tables") for p in page[part]} == set(sources)
     card = (root / "artifacts" / "model_card.md").read_text()
     assert all(f"## {part}" in card for part in ("Use", "Limits", "Watch", "Quality"))
     assert api_metrics(w)["summary"]["matured_leads"] == matured

@@ -60,6 +60,10 @@ def test_contracts(spark):
     with pytest.raises(contracts.DataQualityError, match="unique lead ids"):
         contracts.validate(leads, events, fct, reports.append)
     assert reports[0]["status"] == "failed"
+    calm = contracts.validate(leads, events, fct, advisory=tuple(contracts.NAMES))
+    assert calm["status"] == "passed" and not any(c["blocking"] for c in calm["checks"]) and not all(c["passed"] for c in calm["checks"])
+    with pytest.raises(ValueError, match="Not contracts"):
+        contracts.check_all(leads, events, fct, ("dq_none",))
 
 
 def test_contracts_of_empty_tables_pass(spark):
