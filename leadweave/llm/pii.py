@@ -42,7 +42,7 @@ LOOSE = {
     "number": r"(?<![\w.])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){1,5}(?![\w])",
     "address": r"(?i)[a-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[a-z0-9-]{1,63}){1,4}",
     "name": r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Mlle|Sra?)\.?\x20\p{Lu}\p{Ll}{1,30}(?:\x20\p{Lu}\p{Ll}{1,30})?",
-    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,256}={0,2}(?![A-Za-z0-9_+/=-])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}+={0,2}+(?![A-Za-z0-9_+/=-])",
     "card_run": r"(?<![\w.+])[0-9]{14,19}(?![\w])",
 }
 # Gazetteers. Common top-level domains, calling codes, issuer prefixes of cards, given names, and prefixes of issued keys.
@@ -74,8 +74,8 @@ LABELERS = ("format", "gazetteer", "before", "around", "shape")
 #: EM: rounds, and the votes that each labeler is credited with before any are counted (yes on true, no on false).
 ROUNDS, PRIOR_HITS, PRIOR_MISSES = 40, 40.0, 10.0
 CONTEXT = 40
-#: Base spans before a place that are looked at.
-NEAR = 32
+#: Base spans of a document up to which all are looked at for each candidate, not found by bisection.
+FEW = 32
 #: Matches whose places are summed up at once.
 CHUNK = 256
 
@@ -277,11 +277,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     found = cut(candidates(docs, id_col, text_col))
     model = learn(found)
-    # Base spans are in order of their start: only those from NEAR before the first one behind x can reach into it.
+    # Spans of a kind don't overlap and stand in order, so that of each kind only the last that starts before x ends can reach into it.
+    own = F.transform(F.array(*[F.lit(kind) for kind in BASE]), lambda kind: F.filter("base", lambda b: b["kind"] == kind))
     steps = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
-    behind = lambda x: F.aggregate(steps, F.lit(0), lambda at, k: F.when((at + k <= F.size("base")) & (F.get(F.col("base"), at + k - 1)["start"] < x["end"]), at + k).otherwise(at))
-    reach = lambda x: F.when(F.size("base") <= NEAR, F.col("base")).otherwise(F.slice("base", F.greatest(behind(x) - (NEAR - 1), F.lit(1)), F.lit(NEAR)))
-    apart = lambda x: ~F.exists(reach(x), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    before = lambda spans, x: F.aggregate(steps, F.lit(0), lambda at, k: F.when((at + k <= F.size(spans)) & (F.get(spans, at + k - 1)["start"] < x["end"]), at + k).otherwise(at))
+    last = lambda x: F.transform("own", lambda spans: F.get(spans, before(spans, x) - 1))
+    reach = lambda x: F.when(F.size("base") <= FEW, F.col("base")).otherwise(last(x))
+    apart = lambda x: ~F.exists(reach(x), lambda b: b.isNotNull() & (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    found = found.withColumn("own", F.when(F.size("base") > FEW, own))
     added = F.filter(F.col("found"), lambda x: apart(x) & ~(x["kind"].isin(*VETO) & (x[LABELERS[0]] < 0)) & (_score(model, x) >= 0))
     order = F.create_map(*[y for k, kind in enumerate(KINDS) for y in (F.lit(kind), F.lit(k))])
     kind = lambda x: F.when(x["kind"].isin(*BASE), F.concat(x["kind"], F.lit("_like"))).otherwise(x["kind"])

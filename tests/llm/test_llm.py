@@ -367,6 +367,19 @@ def test_pii_base_spans(spark, odd):
     assert not names
 
 
+def test_pii_keys_of_any_length_and_places_behind_many_spans(spark):
+    from leadweave.llm import pii
+
+    rng = random.Random(2)
+    key = lambda n: "".join(rng.choice("abcdef") + rng.choice("0123456789") for _ in range(n // 2))  # no run of digits is a card
+    keys = [key(n) for n in (40, 248, 264, 480, 5000)]
+    long = ".".join(["1.2.3.4"] * 40) + ".Ab3Cd5Ef7Gh9Jk1Lm3Np5Qr7@ex.com"
+    texts = [f'token = "{k}"' for k in keys] + [long + " token: Ab3Cd5Ef7Gh9Jk1Lm3Np5Qr7St", "1.2.3.4 " * 60 + 'token = "' + keys[0] + '"']
+    found = {r.doc_id: set(r.s.split(",")) - set(r.b.split(",")) for r in pii.find(table(spark, list(enumerate(texts)))).withColumns({"b": pii.joined("base"), "s": pii.joined("spans")}).collect()}
+    assert [found[i] for i in range(5)] == [{f"secret:9:{9 + len(k)}"} for k in keys]
+    assert found[5] == {f"secret:{len(long) + 8}:{len(texts[5])}"} and found[6] == {"secret:489:529"}
+
+
 def test_pii_em_finds_who_is_reliable():
     from leadweave.llm import pii
 
