@@ -58,7 +58,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Where the setting is absent a local master gets a folder of its own; a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="leadweave-")
     if spark.sparkContext.getCheckpointDir() is None:

@@ -24,14 +24,19 @@ def event_counts(events: DataFrame, width: str = "1 day", delay: str = "14 days"
 
 
 def keep(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merge updates into a Parquet table of one row a lead; each batch writes a version of its own, so that a repeated batch is harmless."""
+    """Merge updates into a Parquet table of one row a lead; each batch writes a version of its own, so that a repeated batch is harmless.
+
+    The version before stays, for a repeated batch and for readers; older ones are deleted. A batch costs a pass over the table, so that batches should be large or rare.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = f"{path}/v{number - 1}"
-        at = spark._jvm.org.apache.hadoop.fs.Path(before)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        at, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (before, f"{path}/v{number - 2}"))
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(at):
             batch = batch.unionByName(spark.read.parquet(before).join(batch.select("lead_id"), "lead_id", "left_anti"))
         batch.write.mode("overwrite").parquet(f"{path}/v{number}")
+        files.delete(old, True)
 
     return updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
