@@ -12,8 +12,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-from test_llm import ODD, odd, table, variants  # noqa: F401
+from test_llm import ODD, odd, table  # noqa: F401
 
 # Importance resampling.
 
