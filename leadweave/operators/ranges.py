@@ -47,8 +47,11 @@ def running_sums(df: DataFrame, key: str, sums: list[str], by: list[str] | None
     Each (by, key) is one row, as a groupBy leaves them, so that no key is hot. Rows are summed up within ranges of about
     range_rows keys; to these come the sums of all ranges before, of which there are as many as ranges.
     """
-    by = by or []
-    ranged = df.withColumn("_range", range_of(F.col(key), cut_points(df, key, range_rows)))
+    by, points = by or [], cut_points(df, key, range_rows)
+    if not points:  # one range
+        all_before = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(all_before), F.lit(0)).alias(f"{c}_before") for c in sums])
+    ranged = df.withColumn("_range", range_of(F.col(key), points))
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in sums])
