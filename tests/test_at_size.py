@@ -13,3 +13,11 @@ def test_logistic_gradient_is_flat_where_the_loss_hardly_changes(spark):
     preparation, model = ml.fit("logistic_regression", rows)
     assert max(abs(r.gradient) for r in ml.penalised_gradient(preparation, model, rows).collect()) < 1e-11
     rows.unpersist()
+
+
+def test_importance_shuffles_rows_once(spark):
+    plan = catalog.importance_of(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    keys = [line.split("hashpartitioning(")[1] for line in exchanges]
+    assert sum("bucket" in k for k in keys) == 1
+    assert not any("bucket" in k and "scenario" in k or "feature" in k and "repeat" in k for k in keys)
