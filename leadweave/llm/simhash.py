@@ -8,7 +8,8 @@ in blocks and returns a spanning forest of its links, never all pairs of a group
 Near copies of a shingle similarity of 0.8 differ in about ten bits, where triangle bounds rule nothing out. keep_first()
 therefore adds links between texts whose shingle sets have that Jaccard similarity. Candidates share a band of a MinHash
 sketch (at 0.8 all but 2 of 10,000 pairs do) and are verified on the whole sets. Members of a band's bucket meet some of
-its members, drawn by hash, not each other; buckets that still hold more than one group draw anew, and more of them.
+its members, drawn by hash, not each other; buckets that still hold more than one group draw anew, and more of them. What
+is of different groups after that meets each other, so that all that share a band are of one group or have been compared.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, drop, fresh, map_batches, mix, raw_texts, small_or_shuffled
-from .components import components
+from .common import BROADCAST_ROWS, bucket_pairs, cut, drop, fresh, map_batches, mix, raw_texts, small_or_shuffled
+from .components import components, merged
 
 RADIUS = 3
 #: Distinct fingerprints that a shard holds, about; members of a leaf within a shard; sample for the upper tree.
@@ -33,8 +34,8 @@ SIMILARITY, WIDTH = 0.8, 5
 #: Bands of a MinHash sketch and hashes of a band; places of a sketch in which a pair to be verified may differ, which is
 #: four standard deviations beyond what a similarity of 0.8 leads to.
 BANDS, ROWS, APART = 16, 4, 26
-#: Members of a bucket that all its members meet, by rounds.
-HEADS = (2, 8, 8, 8)
+#: Members of a bucket that all its members meet, by rounds, before those of different groups meet each other.
+HEADS = (2, 8)
 _FACTORS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -288,7 +289,7 @@ def similar_groups(docs: DataFrame, sketched: DataFrame, edges: DataFrame, id_co
     """(node, root): groups by ``edges`` (a, b) and by links between sets of shingles whose Jaccard similarity is at least ``similarity``.
 
     Nodes are digests of sets, so that equal sets cost nothing. Heads are mins by hash, which combine before the shuffle,
-    so that the pairs are in proportion to the nodes however large a bucket is. Texts are fetched again for nodes that
+    so that few pairs join most of a bucket however large it is; bucket_pairs() gives the rest. Texts are fetched again for nodes that
     share a bucket only.
     """
     root = None
@@ -302,35 +303,45 @@ def similar_groups(docs: DataFrame, sketched: DataFrame, edges: DataFrame, id_co
     sets = cut(shingle_sets(texts, text_col, width, seed))
     if not sets.groupBy("sid").count().where("count > 1").isEmpty():  # repeated rows of one id and text
         sets = cut(sets.dropDuplicates(["sid"]))
-    for turn, count in enumerate(HEADS):
+
+    def with_root() -> DataFrame:
         if root is None:
-            rooted = cut(member.withColumn("root", F.col("sid")))
-        else:
-            up = small_or_shuffled(root.withColumnRenamed("node", "sid"), BROADCAST_ROWS)
-            rooted = cut(member.join(up, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+            return cut(member.withColumn("root", F.col("sid")))
+        up = small_or_shuffled(root.withColumnRenamed("node", "sid"), BROADCAST_ROWS)
+        return cut(member.join(up, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+
+    def near(o: str) -> Column:
+        """Whether sizes and sketches leave room for the similarity of a row and the one whose columns begin with ``o``."""
+        room = F.least("n", f"{o}n") >= F.lit(similarity) * F.greatest("n", f"{o}n") - 1e-9
+        return room & (_apart("marks", f"{o}marks") <= APART)
+
+    def verified(met: DataFrame) -> DataFrame:
+        """(a, b): the roots of pairs (sid, osid) whose sets have the similarity."""
+        pairs = cut(met.groupBy(F.least("sid", "osid").alias("a"), F.greatest("sid", "osid").alias("b")).agg(F.min(F.least("root", "oroot")).alias("ra"), F.min(F.greatest("root", "oroot")).alias("rb")))
+        both = pairs.join(sets.withColumnRenamed("sid", "a"), "a").join(sets.select(F.col("sid").alias("b"), F.col("u").alias("v")), "b")
+        common = F.size(F.array_intersect("u", "v"))
+        found = cut(both.where(common * (1 + similarity) >= F.lit(similarity) * (F.size("u") + F.size("v")) - 1e-9).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        drop(pairs)
+        return found
+
+    for turn, count in enumerate(HEADS):
+        rooted = with_root()
         several = cut(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
         rest = cut(rooted.join(small_or_shuffled(several, BROADCAST_ROWS), "key"))
         own = F.col("key") if turn else F.lit(0)  # the first heads are those of many buckets, for few pairs
         heads = [F.min(F.struct(F.xxhash64("sid", own, F.lit(turn), F.lit(k)).alias("h"), "sid", "n", "root", "marks")) for k in range(count)]
         led = cut(rest.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("heads")))
-        met = rest.join(small_or_shuffled(led, BROADCAST_ROWS, F.lit(count * 160)), "key").select("sid", "n", "root", "marks", F.inline("heads").alias("h", "head", "head_n", "head_root", "head_marks"))
-        room = F.least("n", "head_n") >= F.lit(similarity) * F.greatest("n", "head_n") - 1e-9
-        pairs = cut(met.where("root <> head_root").where(room & (_apart("marks", "head_marks") <= APART)).groupBy(F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b")).agg(F.min(F.least("root", "head_root")).alias("ra"), F.min(F.greatest("root", "head_root")).alias("rb")))
-        both = pairs.join(sets.withColumnRenamed("sid", "a"), "a").join(sets.select(F.col("sid").alias("b"), F.col("u").alias("v")), "b")
-        common = F.size(F.array_intersect("u", "v"))
-        found = cut(both.where(common * (1 + similarity) >= F.lit(similarity) * (F.size("u") + F.size("v")) - 1e-9).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-        drop(rooted, several, rest, led, pairs)
+        met = rest.join(small_or_shuffled(led, BROADCAST_ROWS, F.lit(count * 160)), "key").select("sid", "n", "root", "marks", F.inline("heads").alias("h", "osid", "on", "oroot", "omarks"))
+        found = verified(met.where("root <> oroot").where(near("o")))
+        drop(rooted, several, rest, led)
         if root is None:
             root = cut(components(edges.union(found)))
-            continue
-        if found.isEmpty():
+        elif found.isEmpty():
             break
-        # Links between roots are few, so that groups are joined on a small graph; a root is a node of its own group.
-        new = cut(components(found))
-        step = small_or_shuffled(new.select(F.col("node").alias("root"), F.col("root").alias("up")), BROADCAST_ROWS)
-        moved = root.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        root = cut(moved.union(new.join(root.select("node"), "node", "left_anti")))
-    return root
+        else:
+            root = merged(root, found)
+    found = verified(bucket_pairs(with_root(), "sid", near("o")))
+    return root if found.isEmpty() else merged(root, found)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = 42, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:

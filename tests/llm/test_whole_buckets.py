@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +38,25 @@ def test_lines_of_crowded_blocks(spark, monkeypatch, chunk):
         root = [min(ra, rb) if x in (ra, rb) else x for x in root]
     gone = {k for k in range(130) if root[k] != k}
     assert {r.doc_id for r in lines.dedup(table(spark, rows)).where("_n_removed > 0").collect()} == gone and len(gone) > 10 and len(gone) < 120
+
+
+@pytest.mark.parametrize("chunk", [5, 1_000])
+def test_near_copies_of_crowded_bands(spark, monkeypatch, chunk):
+    from leadweave.llm import common, simhash
+
+    monkeypatch.setattr(common, "CHUNK", chunk, raising=False)
+    monkeypatch.setattr(simhash, "HEADS", (1,))
+    rng = random.Random(6)
+    base, rows = words(rng, 300), []
+    for _ in range(60):
+        own = list(base)
+        for _ in range(5):
+            own[rng.randrange(300)] = words(rng, 1)[0]
+        other = list(own)
+        for _ in range(3):
+            other[rng.randrange(300)] = words(rng, 1)[0]
+        rows += [own, other]
+    rng.shuffle(rows)
+    rows = [(k, " ".join(x)) for k, x in enumerate(rows)]
+    kept = {r.doc_id for r in simhash.keep_first(table(spark, rows)).collect()}
+    assert kept == brute.first_copies(rows) and len(kept) < 90
