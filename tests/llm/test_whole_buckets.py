@@ -60,3 +60,46 @@ def test_near_copies_of_crowded_bands(spark, monkeypatch, chunk):
     rows = [(k, " ".join(x)) for k, x in enumerate(rows)]
     kept = {r.doc_id for r in simhash.keep_first(table(spark, rows)).collect()}
     assert kept == brute.first_copies(rows) and len(kept) < 90
+
+
+def test_lines_that_share_a_block_only_make_no_rows(spark, monkeypatch):
+    from leadweave.llm import lines
+
+    rng, made, join = random.Random(8), [], lines.bucket_pairs
+    monkeypatch.setattr(lines, "bucket_pairs", lambda *args: made.append(join(*args)) or made[-1])
+    monkeypatch.setattr(lines, "drop", lambda *tables: None)
+    passage = words(rng, 6)
+    rows = [(k, " ".join([*words(rng, 5), *passage, *words(rng, 5)])) for k in range(120)]
+    copy = rows[70][1].split()
+    rows.append((120, " ".join([*copy[:-1], *words(rng, 1)])))
+    found = {r.doc_id: r for r in lines.occurrences(table(spark, rows)).collect()}
+    keys = {k: {r[f"k{j}"] for j in range(lines.BLOCKS)} for k, r in found.items()}
+    signed = lambda x: x & (2**64 - 1)
+    near = sum(bool(keys[a] & keys[b]) and (signed(found[a].fp) ^ signed(found[b].fp)).bit_count() <= lines.RADIUS for a in range(121) for b in range(a))
+    assert [r.doc_id for r in lines.dedup(table(spark, rows)).where("_n_removed > 0").collect()] == [120]
+    assert near > 300 and len(made) == 1 and made[0].count() < 10
+
+
+def test_long_lines_are_accepted_by_pieces_as_by_all_characters(spark):
+    from leadweave.llm import lines
+
+    rng = random.Random(9)
+    rows = []
+    for k, changes in enumerate((30, 60, 90, 120, 150)):
+        line = words(rng, 500)
+        other = list(line)
+        for at in rng.sample(range(500), changes):
+            other[at] = words(rng, 1)[0]
+        del other[:: 50 if k % 2 else 500]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
+    pairs = spark.createDataFrame([(rows[2 * k][1], rows[2 * k + 1][1], 2 * k + 1) for k in range(5)], "s string, t string, doc_id long")
+    close = {r.doc_id for r in pairs.where(F.levenshtein("s", "t") <= F.floor(F.lit(1 - 0.8) * F.greatest(F.length("s"), F.length("t")) + 1e-9)).collect()}
+    docs = table(spark, rows)
+    from leadweave.llm.common import cut
+
+    found = cut(lines.occurrences(docs))
+    h = {r.doc_id: r.h1 for r in found.collect()}
+    nodes = found.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("doc_id", "th", "line_no")])
+    given = spark.createDataFrame([(h[2 * k], h[2 * k + 1]) for k in range(5)], "x long, y long")
+    got = {r.b.h1 for r in lines._similar(given, cut(nodes), docs, "doc_id", "text", 0.8).collect()}
+    assert got == {h[k] for k in close} and 0 < len(got) < 5
