@@ -85,3 +85,29 @@ def test_long_lines_are_accepted_by_pieces_as_by_all_characters(spark):
     given = spark.createDataFrame([(h[2 * k], h[2 * k + 1]) for k in range(5)], "x long, y long")
     got = {r.b.h1 for r in lines._similar(given, cut(nodes), docs, "doc_id", "text", 0.8).collect()}
     assert got == {h[k] for k in close} and 0 < len(got) < 5
+
+
+def test_pairs_that_fail_by_words_are_not_written_by_the_last_round(spark, monkeypatch):
+    from leadweave.llm import lines
+
+    for name, value in (("RADIUS", 64), ("HEADS", 1), ("ROWS", 300), ("PAIRS", 20)):
+        monkeypatch.setattr(lines, name, value, raising=False)
+    given, similar = [], lines._similar
+    monkeypatch.setattr(lines, "_similar", lambda pairs, *a: given.append(pairs.collect()) or similar(pairs, *a))
+    rng = random.Random(12)
+    pool = [words(rng, 6) for _ in range(16)]
+    texts = [[w for p in sorted(rng.sample(range(16), 6)) for w in pool[p]] for _ in range(60)]
+    docs = table(spark, [(k, " ".join(x)) for k, x in enumerate(texts)])
+    own = {r.h1: texts[r.doc_id] for r in lines.occurrences(docs).collect()}
+    lines.dedup(docs).collect()
+
+    def cost(s, t):
+        row = list(range(len(t) + 1))
+        for i, x in enumerate(s, 1):
+            last, row = row, [i]
+            for j, y in enumerate(t, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    # Words that differ have equal marks at times.
+    assert len(given) == 3 and all(cost(own[r.x], own[r.y]) <= 18 + 3 for r in given[2])
