@@ -21,3 +21,15 @@ def test_importance_shuffles_rows_once(spark):
     keys = [line.split("hashpartitioning(")[1] for line in exchanges]
     assert sum("bucket" in k for k in keys) == 1
     assert not any("bucket" in k and "scenario" in k or "feature" in k and "repeat" in k for k in keys)
+
+
+def test_certificate_of_coefficients_as_small_as_many_rows_make_them(spark, monkeypatch):
+    fit = ml.fit
+    for share, nonzero in ((0.01, True), (0.0, False)):
+
+        def small(name, rows, share=share):
+            preparation, model = fit(name, rows)
+            return preparation, ml.Logistic(model.coefficients * share, model.intercept)
+
+        monkeypatch.setattr(ml, "fit", small)
+        assert {r.nonzero for r in catalog.logistic_certificate(spark, DATA).collect()} == {nonzero}
